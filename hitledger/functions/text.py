@@ -35,6 +35,7 @@ def lower0(x) -> Column:
 
 
 def has(text: Column, *words: str) -> Column:
+    """Whether any of the words occurs in the text."""
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
@@ -64,12 +65,17 @@ def parse_kv(kv) -> Column:
 
 
 def parse_kv_lower(kv) -> Column:
-    """Map with lower-cased keys of letters, digits, ``_`` and ``-`` only."""
-    text = F.trim(F.coalesce(col(kv), F.lit("")))
-    pattern = r"(?:^|;\s*)([A-Za-z0-9_\-]+)=([^;]*)"
-    keys = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.map_from_arrays(F.transform(keys, F.lower), F.transform(values, lambda p: F.trim(p)))
+    """Map with lower-cased keys; only keys of letters, digits, ``_`` and ``-`` count."""
+    parts = F.transform(F.split(F.coalesce(col(kv), F.lit("")), ";"), lambda p: F.trim(p))
+    pairs = F.filter(parts, lambda p: p.rlike(r"^[A-Za-z0-9_\-]+="))
+    return F.map_from_entries(
+        F.transform(
+            pairs,
+            lambda p: F.struct(
+                F.lower(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.substr(p, F.instr(p, "=") + 1)).alias("value")
+            ),
+        )
+    )
 
 
 def kv_value(kv_map: Column, key: str) -> Column:
@@ -371,9 +377,10 @@ def with_event_name(df, out: str = "semantic_event", mode: str = "batch", pv_mod
     text, existing, method = F.col("_text"), F.col("_existing"), F.upper(pick(("method",)))
     name = F.when((existing != "") & ~existing.isin(*GENERIC_EVENT_NAMES), existing)
     for label, need, any_of in EVENT_RULES[mode]:
+        # required words first: they settle most rows
         cond = has(text, *any_of)
         for word in need:
-            cond = cond & text.contains(word)
+            cond = text.contains(word) & cond
         if label in AUTH_OUTCOMES:
             cond = cond | (has(text, "auth", "login") & has(text, *AUTH_OUTCOMES[label]))
         if mode == "batch" and label == "loan_view":

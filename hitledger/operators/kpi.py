@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numbers as N, text as X
-from .joins import new_entities
-from .split import lag_in_slices, micros, sum_in_slices, time_slice
+from .split import micros, time_slice
 
 DAY = ("profile_id", "dt")
 SESSION_GAP = 1800
@@ -52,23 +51,49 @@ def sessionize(views: DataFrame, identity: str = "identity", ts: str = "ts", eve
     """Number the sessions of each identity: a new one starts after a gap longer than ``gap`` seconds.
 
     ``keys`` with the day restart sessions at midnight; without it they go on.
-    Adds session_seq and session_start_us. Works in time slices, so an identity
-    of any size is spread over many tasks.
+    Returns keys, identity, event id, _us, session_seq and session_start_us.
+    Each time slice of an identity is walked by itself; only whether its first
+    row opens a session, and which session was open, comes from the slices
+    before it. Both branches read one shuffle.
     """
     keys = [*keys, identity]
-    d = views.withColumn("_us", micros(ts))
-    part = time_slice(F.col("_us"), SLICE)
-    d = lag_in_slices(d, keys, ["_us", event_id], part, "_us", "_prev")
-    new = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > gap * 1_000_000)
-    d = d.withColumn("_new", new.cast("bigint"))
-    d = sum_in_slices(d, keys, ["_us", event_id], part, "_new", "session_seq")
-    starts = d.where("_new = 1").select(*keys, "session_seq", F.col("_us").alias("session_start_us"))
-    return d.join(starts, [*keys, "session_seq"]).drop("_prev", "_new")
+    rows = views.select(*keys, event_id, micros(ts).alias("_us"))
+    rows = rows.withColumn("_slice", time_slice(F.col("_us"), SLICE))
+    near = Window.partitionBy(*keys, "_slice").orderBy("_us", event_id)
+    so_far = near.rowsBetween(Window.unboundedPreceding, 0)
+    limit = gap * 1_000_000
+    # 1 where a later row of the slice opens a session; the first row is settled below
+    opens = (F.col("_us") - F.lag("_us").over(near) > limit).cast("bigint")
+    walked = rows.withColumn("_opens", F.coalesce(opens, F.lit(0)))
+    walked = walked.withColumn("_opened", F.sum("_opens").over(so_far)).withColumn(
+        "_start", F.max(F.when(F.col("_opens") == 1, F.col("_us"))).over(so_far)
+    )
+    slices = walked.groupBy(*keys, "_slice").agg(
+        F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.sum("_opens").alias("_n"), F.max("_start").alias("_inner")
+    )
+    along = Window.partitionBy(*keys).orderBy("_slice")
+    until = along.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.lag("_last").over(along)
+    slices = slices.withColumn("_head", (before.isNull() | (F.col("_first") - before > limit)).cast("bigint"))
+    slices = slices.withColumn("_tail", F.coalesce("_inner", F.when(F.col("_head") == 1, F.col("_first"))))
+    carry = slices.select(
+        *keys, "_slice",
+        (F.sum(F.col("_n") + F.col("_head")).over(until) - F.col("_n")).alias("_base"),
+        F.when(F.col("_head") == 1, F.col("_first")).otherwise(F.last("_tail", ignorenulls=True).over(earlier)).alias("_open"),
+    )
+    return walked.join(carry, [*keys, "_slice"]).select(
+        *keys, event_id, "_us", (F.col("_base") + F.col("_opened")).alias("session_seq"), F.coalesce("_start", "_open").alias("session_start_us")
+    )
+
+
+def _hour() -> Column:
+    return F.hour(F.timestamp_micros("_us"))
 
 
 def session_hour_visits(sessions: DataFrame, keys=DAY, identity: str = "identity") -> DataFrame:
     """Sessions seen per hour; one spanning hours counts in each."""
-    per = sessions.select(*keys, F.hour("ts").alias("hh"), identity, "session_seq").distinct()
+    per = sessions.select(*keys, _hour().alias("hh"), identity, "session_seq").distinct()
     return per.groupBy(*keys, "hh").agg(F.count("*").alias("visit"))
 
 
@@ -81,7 +106,7 @@ def running_session_duration(sessions: DataFrame) -> DataFrame:
 def _hour_parts(hits: DataFrame) -> DataFrame:
     """Per hour, identity and session: counts, ready for distinct counting."""
     views = running_session_duration(sessionize(hits.where("is_pv").select(*DAY, "ts", "identity", "event_id")))
-    return views.groupBy(*DAY, F.hour("ts").alias("hh"), "identity", "session_seq").agg(
+    return views.groupBy(*DAY, _hour().alias("hh"), "identity", "session_seq").agg(
         F.count("*").alias("pv"), F.sum("duration_sec").alias("dur")
     )
 
@@ -109,13 +134,17 @@ def hourly_counts(events: DataFrame, raw: DataFrame, collected: DataFrame, **mod
 
 
 def daily_users(events: DataFrame, lookback_days: int = 30, **modes) -> DataFrame:
-    """Active users of a day (from page views) and those not seen in the lookback window."""
+    """Active users of a day (from page views) and those not seen in the lookback window.
+
+    History counts every hit, activity only page views.
+    """
     hits = named_hits(events, **modes)
-    # history counts every hit, activity only page views
     seen = hits.groupBy(*DAY, "identity").agg(F.max(F.col("is_pv").cast("int")).alias("viewed"))
-    fresh = new_entities(seen, "identity", "dt", ["profile_id"], lookback_days).withColumn("fresh", F.lit(1))
-    both = seen.where("viewed = 1").join(fresh, [*DAY, "identity"], "left")
-    return both.groupBy(*DAY).agg(F.count("*").alias("users"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("new_users"))
+    gap = F.datediff("dt", F.lag("dt").over(Window.partitionBy("profile_id", "identity").orderBy("dt")))
+    fresh = gap.isNull() | (gap > lookback_days)
+    return seen.withColumn("fresh", fresh).where("viewed = 1").groupBy(*DAY).agg(
+        F.count("*").alias("users"), F.count_if("fresh").alias("new_users")
+    )
 
 
 def _rate(num: str, den: str) -> Column:
@@ -157,24 +186,28 @@ def _long(wide: DataFrame, keys, level: str) -> DataFrame:
     return wide.select(*keys, F.inline(F.array(*items)))
 
 
-def behavior_kpi_hourly(events, raw, collected, lookback_days: int = 30, **modes) -> DataFrame:
-    """22 measures per hour. The new user ratio repeats the value of the day."""
-    hours = hourly_counts(events, raw, collected, **modes)
-    users = daily_users(events, lookback_days, **modes)
+def kpi_hours(hours: DataFrame, users: DataFrame) -> DataFrame:
     wide = hours.join(users, list(DAY), "left").fillna(0, subset=["users", "new_users"])
     return _long(wide, [*DAY, "hh"], "hour")
 
 
-def behavior_kpi_daily(events, raw, collected, lookback_days: int = 30, **modes) -> DataFrame:
-    """24 measures per day; rates are taken of the summed counts."""
-    hours = hourly_counts(events, raw, collected, **modes)
+def kpi_days(hours: DataFrame, users: DataFrame) -> DataFrame:
     sums = [c for c in hours.columns if c not in (*DAY, "hh", "uv", "visit")]
     day = hours.groupBy(*DAY).agg(*[F.sum(c).alias(c) for c in sums])
-    users = daily_users(events, lookback_days, **modes)
     wide = day.join(users, list(DAY), "left").fillna(0, subset=["users", "new_users"]).withColumn("uv", F.col("users"))
     return _long(wide, list(DAY), "day")
 
 
+def behavior_kpi_hourly(events, raw, collected, lookback_days: int = 30, **modes) -> DataFrame:
+    """22 measures per hour. The new user ratio repeats the value of the day."""
+    return kpi_hours(hourly_counts(events, raw, collected, **modes), daily_users(events, lookback_days, **modes))
+
+
+def behavior_kpi_daily(events, raw, collected, lookback_days: int = 30, **modes) -> DataFrame:
+    """24 measures per day; rates are taken of the summed counts."""
+    return kpi_days(hourly_counts(events, raw, collected, **modes), daily_users(events, lookback_days, **modes))
+
+
 def hourly_long(hours: DataFrame) -> DataFrame:
     items = [F.struct(F.lit(n).alias("metric_nm"), F.col(c).cast("double").alias("metric_val")) for n, c in (("visit", "visit"), ("uv", "uv"), ("pageview", "pv"))]
     return hours.select(*DAY, "hh", F.inline(F.array(*items)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("scalars", "gaps", "reconciling", "behavior")
+FAMILIES = ("scalars", "gaps", "reconciling", "behavior", "stream")
 
 
 def all_queries():

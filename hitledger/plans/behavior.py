@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J, kpi as K
+from ..session import materialize
 from .fixtures import RELATIONS
 from .registry import query
 
@@ -141,8 +142,9 @@ BATCH_COLS = "profile_id dt:date " + " ".join(f"{n}:d" for n in (*BATCH_PICK, "v
 
 
 def measured_batch(i):
-    h = hours(i)
-    daily = K.behavior_kpi_daily(i.batch_events, i.source_hits, i.collected_hits)
+    # hour facts are written once; every later layer reads them
+    h = materialize(hours(i), "hours")
+    daily = K.kpi_days(h, K.daily_users(i.batch_events))
     cov = coverage(i).select("profile_id", "dt", "mapping_coverage", F.col("unmapped_events").alias("unmapped_event_count"))
     return K.measurement_batch(K.hourly_wide(K.hourly_long(h)), daily, cov)
 
