@@ -14,6 +14,9 @@ def ranks_of(q: float, kind: str):
         return [F.greatest(F.lit(1), F.ceil(n * F.lit(q)))]
     if kind == "two_ranks":  # mean of the floor and the ceiling rank
         return [F.greatest(F.lit(1), F.floor(n * F.lit(q))), F.greatest(F.lit(1), F.ceil(n * F.lit(q)))]
+    if kind == "linear":  # the two ranks around (n - 1) q
+        low = F.floor((n - 1) * F.lit(q)) + 1
+        return [low, F.least(low + 1, n)]
     raise ValueError(kind)
 
 
@@ -51,4 +54,11 @@ def exact_quantiles(df: DataFrame, keys, value: str, wanted: dict[str, float], k
         .select(*keys, value, "_cum", "_c", F.inline("_asks"))
         .where("_cum >= _rank AND _cum - _c < _rank")
     )
-    return found.groupBy(*keys).agg(*[F.avg(F.when(F.col("_q") == name, F.col(value))).alias(name) for name in wanted])
+    of = lambda name, pick: pick(F.when(F.col("_q") == name, F.col(value).cast("double")))
+    if kind != "linear":
+        return found.groupBy(*keys).agg(*[of(name, F.avg).alias(name) for name in wanted])
+    ends = found.groupBy(*keys).agg(*[F.struct(of(n, F.min).alias("lo"), of(n, F.max).alias("hi")).alias(n) for n in wanted])
+    part = lambda q: (F.col("_n") - 1) * F.lit(q) - F.floor((F.col("_n") - 1) * F.lit(q))
+    return ends.join(stat.select(*keys, "_n"), keys).select(
+        *keys, *[(F.col(n)["lo"] + part(q) * (F.col(n)["hi"] - F.col(n)["lo"])).alias(n) for n, q in wanted.items()]
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("scalars", "gaps", "reconciling", "behavior", "stream")
+FAMILIES = ("scalars", "gaps", "reconciling", "behavior", "stream", "baselines")
 
 
 def all_queries():
