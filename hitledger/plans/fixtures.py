@@ -129,7 +129,7 @@ FROM source_hits WHERE value >= 3""",
 }
 
 # Further relations may be registered by plan modules (day facts of a family).
-NAME = re.compile(r"\b([a-z_][a-z0-9_]*)\b")
+NAME = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_][a-z0-9_]*)\b")
 
 
 def _needs(sql: str) -> list[str]:
