@@ -266,8 +266,8 @@ def semantic_dimension(rows: DataFrame) -> DataFrame:
 def unified_score(rows: DataFrame) -> DataFrame:
     parts = N.clamp01("semantic_confidence") + N.clamp01(num("amplification_score") * 0.15) + N.clamp01(num("distortion_score") * 0.10) + N.clamp01(num("drift_score") * 0.10)
     # rounded, so that a score on a limit does not depend on summation order
-    return rows.withColumn("overall_score", F.round(N.clamp01(parts), 9)).withColumn(
-        "overall_level", N.level_band("overall_score", ([(0.8, "CRITICAL"), (0.5, "HIGH"), (0.2, "WARN")], "STABLE"))
+    return rows.withColumn("overall_score", N.clamp01(parts)).withColumn(
+        "overall_level", N.level_band(F.round("overall_score", 9), ([(0.8, "CRITICAL"), (0.5, "HIGH"), (0.2, "WARN")], "STABLE"))
     )
 
 

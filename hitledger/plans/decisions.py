@@ -449,7 +449,7 @@ def dimension_reliability(i):
 _SEC = ", ".join(f"{{'s': CAST(CASE WHEN dominant_semantic = '{n.title()}' THEN -1 ELSE {n}_score END AS DOUBLE), 'n': '{n.title()}'}}" for n in _S5)
 RELATIONS["semantic_day"] = f"""SELECT *, CASE WHEN sec.s > 0.05 THEN sec.n ELSE 'None' END AS secondary_semantic FROM (SELECT *, {_of('dominant_semantic')} AS semantic_confidence, list_reduce([{_SEC}], lambda x, y: CASE WHEN y.s > x.s THEN y ELSE x END) AS sec FROM (
   SELECT *, CASE WHEN {_of('exp5')} > 0 THEN exp5 WHEN greatest({", ".join(f"{n}_score" for n in _S5)}) <= 0.0001 THEN 'None' ELSE sb.n END AS dominant_semantic FROM (SELECT *, {_EXP} ELSE 'Unknown' END AS exp5, {_best(_S5)} AS sb FROM dimensioned) a) b) c"""
-RELATIONS["unified_day"] = f"""SELECT *, {band('overall_score', ((0.8, 'CRITICAL'), (0.5, 'HIGH'), (0.2, 'WARN')), 'STABLE')} AS overall_level FROM (SELECT *, round(least(1, semantic_confidence + amplification_score * 0.15 + distortion_score * 0.1 + drift_score * 0.1), 9) AS overall_score FROM semantic_day) x"""
+RELATIONS["unified_day"] = f"""SELECT *, {band('round(overall_score, 9)', ((0.8, 'CRITICAL'), (0.5, 'HIGH'), (0.2, 'WARN')), 'STABLE')} AS overall_level FROM (SELECT *, least(1, semantic_confidence + amplification_score * 0.15 + distortion_score * 0.1 + drift_score * 0.1) AS overall_score FROM semantic_day) x"""
 
 
 def semantic(i):

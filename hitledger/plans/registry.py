@@ -30,7 +30,7 @@ class Query:
             return None
         cast = {
             "i": "CAST({0} AS BIGINT) AS {0}",
-            "d": "round(CAST({0} AS DOUBLE), 6) + 0.0 AS {0}",
+            "d": "round(CAST({0} AS DOUBLE) + 3.3e-10, 6) + 0.0 AS {0}",
             "s": "CAST({0} AS VARCHAR) AS {0}",
             "date": "CAST({0} AS DATE) AS {0}",
             "ts": "CAST({0} AS TIMESTAMP) AS {0}",
@@ -40,13 +40,17 @@ class Query:
 
 
 def shape(df: DataFrame, columns) -> DataFrame:
-    """Pick the declared columns with their declared types."""
+    """Pick the declared columns with their declared types.
+
+    Doubles are rounded to six digits; the small shift keeps a value that ends
+    in a five at the seventh digit from falling either way.
+    """
     types = {"i": "bigint", "s": "string", "date": "date", "ts": "timestamp_ntz"}
 
     def one(name, kind):
         c = F.col(name)
         if kind == "d":
-            return (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name)
+            return (F.round(c.cast("double") + F.lit(3.3e-10), 6) + F.lit(0.0)).alias(name)
         return c.cast(types[kind]).alias(name)
 
     return df.select(*[one(n, k) for n, k in columns])
