@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("scalars", "gaps", "reconciling", "behavior", "stream", "baselines", "decisions", "records", "checks")
+FAMILIES = ("scalars", "gaps", "reconciling", "behavior", "stream", "baselines", "decisions", "records", "checks", "streams", "models")
 
 
 def all_queries():

@@ -18,7 +18,7 @@ RELATIONS["expected_scenarios"] = "SELECT DISTINCT profile_id, dt, 'baseline' AS
 
 
 @query("scenario_identity_audit", "Q01", f"table_name {HEAD} row_count:i mismatch_count:i",
-       " UNION ALL ".join(f"SELECT '{n}' AS table_name, {S}, count(*) AS row_count, CASE WHEN scenario_name <> 'baseline' THEN count(*) ELSE 0 END AS mismatch_count FROM {r} GROUP BY ALL" for n, r in (("source", "source_hits"), ("collected", "collected_hits"))))
+       " UNION ALL ".join(f"SELECT '{n}' AS table_name, {S}, count(*) AS row_count, count(*) FILTER (scenario_name <> 'baseline') AS mismatch_count FROM {r} GROUP BY profile_id, dt, scenario_name" for n, r in (("source", "source_hits"), ("collected", "collected_hits"))))
 def scenario_identity_audit(i):
     return Q.scenario_identity_audit({"source": i.source_hits, "collected": i.collected_hits}, i.expected_scenarios)
 
@@ -213,7 +213,7 @@ def artifact_coverage(i):
 
 
 RELATIONS["timeline"] = """SELECT profile_id, dt, hour(ts) AS hh, min(CASE WHEN event_type = 'error' THEN 'rain' END) AS weather_type, min(CASE WHEN value > 200 THEN 'sale' END) AS campaign_flag, CASE WHEN max(value) > 200 THEN 'Degraded' WHEN max(value) > 150 THEN 'collector_drop' WHEN max(value) > 140 THEN 'submit_partial_loss' ELSE 'normal' END AS system_flag,
-  1 + count(*) / 128.0 AS volume_multiplier, CAST(1 AS DOUBLE) AS conversion_multiplier, 1 + floor(max(value) / 100) / 4.0 AS timeout_multiplier, 1 + floor(max(value) / 50) / 8.0 AS retry_multiplier FROM source_hits GROUP BY profile_id, dt, hour(ts)"""
+  1 + CAST(count(*) AS DOUBLE) / 128 AS volume_multiplier, CAST(1 AS DOUBLE) AS conversion_multiplier, 1 + CAST(floor(max(value) / 100) AS DOUBLE) / 4 AS timeout_multiplier, 1 + CAST(floor(max(value) / 50) AS DOUBLE) / 8 AS retry_multiplier FROM source_hits GROUP BY profile_id, dt, hour(ts)"""
 RELATIONS["timeline_days"] = "SELECT profile_id, dt, arg_min(weather_type, hh) FILTER (weather_type IS NOT NULL) AS weather_type, arg_min(campaign_flag, hh) FILTER (campaign_flag IS NOT NULL) AS campaign_flag, arg_min(system_flag, hh) AS system_flag, avg(volume_multiplier) AS volume_multiplier, avg(timeout_multiplier) AS timeout_multiplier, avg(retry_multiplier) AS retry_multiplier FROM timeline GROUP BY ALL"
 
 

@@ -128,10 +128,11 @@ def behavior_anomaly(i):
 # --- score rows: one scope per user and day, all scores from whole-number sums -----
 
 _V = "CAST(floor(value * 100) AS BIGINT)"
-RELATIONS["score_rows"] = f"""SELECT profile_id, dt, scenario_name, n, s1 / (n * 10000.0) AS a, least(1.0, s2 / 20000.0) AS b, least(1.0, s3 / (n * 1.0)) AS c, least(1.0, s4 / (n * 2.0)) AS d, (s1 % 1000) / 1000.0 AS e, (s2 % 700) / 700.0 AS f, (s1 % 77) / 77.0 AS g,
+RELATIONS["score_rows"] = f"""SELECT profile_id, dt, scenario_name, n, r1 / (n * 10000) AS a, least(CAST(1 AS DOUBLE), r2 / 20000) AS b, least(CAST(1 AS DOUBLE), r3 / n) AS c, least(CAST(1 AS DOUBLE), r4 / (n * 2)) AS d, CAST(s1 % 1000 AS DOUBLE) / 1000 AS e, CAST(s2 % 700 AS DOUBLE) / 700 AS f, CAST(s1 % 77 AS DOUBLE) / 77 AS g,
   s1 % 400 AS k1, s2 % 300 AS k2, s1 % 130 AS k3, s2 % 60 AS k4, CASE s2 % 6 WHEN 0 THEN 'completeness' WHEN 1 THEN 'latency_performance' WHEN 2 THEN 'availability' WHEN 3 THEN 'schema_validation' WHEN 4 THEN 'low' ELSE 'other' END AS family FROM (
-  SELECT concat('p', CAST(user_id AS STRING)) AS profile_id, CAST(ts AS DATE) AS dt, CASE WHEN day(CAST(ts AS DATE)) % 4 = 0 THEN 'baseline' ELSE 'source_wc_collection_missing' END AS scenario_name, count(*) AS n, sum({_V}) AS s1, max({_V}) AS s2,
-  count(CASE WHEN event_type = 'error' THEN 1 END) AS s3, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS s4 FROM events GROUP BY user_id, CAST(ts AS DATE)) x"""
+  SELECT *, CAST(s1 AS DOUBLE) AS r1, CAST(s2 AS DOUBLE) AS r2, CAST(s3 AS DOUBLE) AS r3, CAST(s4 AS DOUBLE) AS r4 FROM (
+  SELECT concat('p', CAST(user_id AS STRING)) AS profile_id, CAST(ts AS DATE) AS dt, CASE WHEN day(CAST(ts AS DATE)) % 4 = 0 THEN 'baseline' ELSE 'source_wc_collection_missing' END AS scenario_name, count(*) AS n, CAST(sum({_V}) AS BIGINT) AS s1, max({_V}) AS s2,
+  count(CASE WHEN event_type = 'error' THEN 1 END) AS s3, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS s4 FROM events GROUP BY user_id, CAST(ts AS DATE)) x) y"""
 CALM = "scenario_name = 'baseline'"
 RELATIONS["runtime_rows"] = "SELECT *, a * 0.4 AS behavior_distortion_score, b AS batch_distribution_score, c * 0.5 AS duplicate_rate, d * 0.3 AS late_event_rate, 1 - e * 0.4 AS availability_score, 0.95 AS performance_score, g * 0.2 AS error_rate, CASE WHEN k4 < 20 THEN 0.0 ELSE f * 0.6 END AS completeness_delta, 0.0 AS timeliness_delta, 0.0 AS availability_delta, 0.0 AS integrity_delta FROM score_rows"
 
@@ -487,7 +488,7 @@ def case_evidence(i):
     return D.case_evidence(i.case_hits)
 
 
-RELATIONS["case_scores"] = "SELECT profile_id, dt, count(CASE WHEN value < 70 THEN 1 END) / (count(*) * 1.0) AS integrity_score, count(CASE WHEN value < 30 THEN 1 END) / (count(*) * 1.0) AS completeness_score, 0.05 AS timeliness_score, 0.6 AS consistency_score, 0.0 AS availability_score FROM source_hits GROUP BY profile_id, dt"
+RELATIONS["case_scores"] = "SELECT profile_id, dt, CAST(count(CASE WHEN value < 70 THEN 1 END) AS DOUBLE) / count(*) AS integrity_score, CAST(count(CASE WHEN value < 30 THEN 1 END) AS DOUBLE) / count(*) AS completeness_score, 0.05 AS timeliness_score, 0.6 AS consistency_score, 0.0 AS availability_score FROM source_hits GROUP BY profile_id, dt"
 
 
 @query("case_rule_decision", "E21", "profile_id dt:date case_id case_count:i integrity_score:d completeness_score:d timeliness_score:d consistency_score:d availability_score:d dominant_semantic_risk secondary_semantic_risk final_risk_level recommended_action priority overall_risk_score:d",
