@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -148,6 +146,10 @@ def top_features(numbers, k: int = 10) -> Column:
     return F.transform(best, lambda x: F.struct(x["name"].alias("name"), x["abs_value"].alias("abs_value"), x["value"].alias("value")))
 
 
+# Grades of a model score.
+ML_GRADES = ([(0.75, "CRITICAL"), (0.45, "HIGH"), (0.20, "WARN")], "STABLE")
+
+
 def predict(classifier, regressor, df: DataFrame, numbers, texts=(), rule_score: str = "overall_risk_score") -> DataFrame:
     """Label, confidence, clamped score, grade and gap to the rule score."""
     d = _filled(df.select("*", top_features(numbers).alias("top_features")), numbers, texts)
@@ -156,7 +158,7 @@ def predict(classifier, regressor, df: DataFrame, numbers, texts=(), rule_score:
     labelled = labelled.select(*kept, *[x for x in d.columns if x.startswith("_")], "predicted_label", F.array_max(vector_to_array("probability")).alias("prediction_confidence"))
     scored = regressor.transform(labelled)
     score = N.clamp01("prediction")
-    return scored.select(*kept, "predicted_label", "prediction_confidence", score.alias("ml_risk_score"), N.level_band(score * 100, "grade").alias("ml_risk_grade"), (score - num(rule_score)).alias("score_gap"))
+    return scored.select(*kept, "predicted_label", "prediction_confidence", score.alias("ml_risk_score"), N.level_band(score, ML_GRADES).alias("ml_risk_grade"), (score - num(rule_score)).alias("score_gap"))
 
 
 def _without_label(model):
@@ -171,12 +173,13 @@ def confusion_matrix(predicted: DataFrame, label: str, guess: str = "predicted_l
 
 
 def classification_report(predicted: DataFrame, label: str, guess: str = "predicted_label") -> DataFrame:
-    """Precision, recall and f1 per class."""
-    m = confusion_matrix(predicted, label, guess)
-    right = m.where("label = predicted").select("label", c("cnt").alias("tp"))
-    made = m.groupBy(c("predicted").alias("label")).agg(F.sum("cnt").alias("made"))
-    real = m.groupBy("label").agg(F.sum("cnt").alias("support"))
-    j = reduce(lambda a, b: a.join(b, "label", "full_outer"), [real, made, right]).fillna(0)
+    """Precision, recall and f1 per class, from one pass over the matrix."""
+    hit = c("label") == c("predicted")
+    sides = F.array(
+        F.struct(c("label").alias("k"), c("cnt").alias("support"), F.lit(0).cast("bigint").alias("made"), F.when(hit, c("cnt")).otherwise(0).alias("tp")),
+        F.struct(c("predicted").alias("k"), F.lit(0).cast("bigint").alias("support"), c("cnt").alias("made"), F.lit(0).cast("bigint").alias("tp")),
+    )
+    j = confusion_matrix(predicted, label, guess).select(F.inline(sides)).groupBy(c("k").alias("label")).agg(*[F.sum(x).alias(x) for x in ("support", "made", "tp")])
     p, r = N.ratio("tp", "made"), N.ratio("tp", "support")
     return j.select("label", "support", p.alias("precision"), r.alias("recall"), N.ratio(2 * p * r, p + r).alias("f1"))
 
