@@ -514,9 +514,12 @@ def mapping_suggestion(path) -> dict[str, Column]:
     }
 
 
-def keyword_hits(text, labels: dict[str, list[str]]) -> Column:
-    """Labels whose keyword list occurs in the lower-cased text."""
-    t = lower0(text)
+def keyword_hits(text, labels: dict[str, list[str]], lowered: bool = False) -> Column:
+    """Labels whose keyword list occurs in the lower-cased text.
+
+    A long text is best lower-cased once, in a column of its own.
+    """
+    t = col(text) if lowered else lower0(text)
     flags = [F.when(has(t, *[w.lower() for w in words]), F.lit(label)) for label, words in labels.items()]
     return F.array_compact(F.array(*flags))
 

@@ -80,16 +80,16 @@ def prefer_generated(rows: DataFrame, outputs: DataFrame, keys=("profile_id", "d
     return j.select(*keep, F.when(use, c("_text")).otherwise(c("summary_text")).alias("checked_text"), F.when(use, "LLM").otherwise("FALLBACK").alias("output_source"), F.when(use, c("execution_id")).alias("execution_id"))
 
 
-def unsupported_claims(text, evidence) -> Column:
-    """Claims the text makes that the evidence does not name."""
-    seen = X.lower0(evidence)
-    made = X.keyword_hits(text, CLAIMS)
+def unsupported_claims(text: Column, seen: Column) -> Column:
+    """Claims the text makes that the evidence does not name; both are lower-cased already."""
+    made = X.keyword_hits(text, CLAIMS, lowered=True)
     backed = F.array_compact(F.array(*[F.when(X.has(seen, *[w.lower() for w in ALSO_SUPPORTS.get(label, [label])]), F.lit(label)) for label in CLAIMS]))
     return F.array_except(made, backed)
 
 
 def check_unsupported_claims(rows: DataFrame, text: str = "checked_text", evidence: str = "evidence_text") -> DataFrame:
-    d = rows.withColumn("unsupported", unsupported_claims(text, evidence))
+    # lower-cased once per row, however many words are looked for
+    d = rows.withColumn("_t", X.lower0(text)).withColumn("_e", X.lower0(evidence)).withColumn("unsupported", unsupported_claims(c("_t"), c("_e")))
     n = F.size("unsupported")
     return d.select(*rows.columns, F.concat_ws(",", "unsupported").alias("unsupported_claims"), n.alias("unsupported_claim_count"), F.least(F.lit(1.0), n / 3.0).alias("hallucination_score"), (n > 0).cast("int").alias("hallucination_flag"))
 
@@ -107,22 +107,24 @@ def check_interpretation(rows: DataFrame, text: str = "checked_text") -> DataFra
 
     ``rows`` has dominant_semantic_risk and has_evidence (0/1).
     """
-    t, dom = X.lower0(text), F.coalesce(c("dominant_semantic_risk"), F.lit("None"))
+    rows = rows.withColumn("_t", X.lower0(text))
+    t, dom = c("_t"), F.coalesce(c("dominant_semantic_risk"), F.lit("None"))
     semantic = (dom == "None") | _named(RISK_TERMS, dom, t, t.contains(F.lower(dom)))
     parts = {
         "signal_match_score": X.has(t, *SIGNAL_TERMS), "semantic_match_score": semantic,
         "evidence_match_score": (c("has_evidence") == 1) & X.has(t, *EVIDENCE_TERMS), "measurement_reference_score": X.has(t, *MEASURE_TERMS),
     }
-    d = rows.select("*", *[e.cast("double").alias(n) for n, e in parts.items()])
+    d = rows.select("*", *[e.cast("double").alias(n) for n, e in parts.items()]).drop("_t")
     mean = sum(c(n) for n in parts) / 4.0
     return d.withColumn("interpretation_score", mean).withColumn("interpretation_status", N.level_band("interpretation_score", ([(0.75, "PASS"), (0.5, "WARN")], "FAIL")))
 
 
 def check_action_alignment(rows: DataFrame, text: str = "action_text", rule: str = "rule_action") -> DataFrame:
     """Whether the text holds the action of the rules, or words that stand for it."""
-    t, r = X.lower0(text), F.lower(F.trim(F.coalesce(c(rule), F.lit(""))))
+    rows = rows.withColumn("_t", X.lower0(text))
+    t, r = c("_t"), F.lower(F.trim(F.coalesce(c(rule), F.lit(""))))
     ok = (r != "") & (t.contains(r) | _named(ACTION_TERMS, r, t, F.lit(False)))
-    return rows.select("*", ok.cast("double").alias("action_match_score"), F.when(ok, "ALIGNED").otherwise("MISMATCH").alias("action_status"))
+    return rows.select("*", ok.cast("double").alias("action_match_score"), F.when(ok, "ALIGNED").otherwise("MISMATCH").alias("action_status")).drop("_t")
 
 
 def check_generated(rows: DataFrame) -> DataFrame:
@@ -130,14 +132,15 @@ def check_generated(rows: DataFrame) -> DataFrame:
 
     ``rows`` has evidence_count, summary_text, final_risk_level, overall_risk_score and recommended_action.
     """
-    t, act = X.lower0("summary_text"), X.lower0("recommended_action")
+    rows = rows.withColumn("_t", X.lower0("summary_text"))
+    t, act = c("_t"), X.lower0("recommended_action")
     missing = num("evidence_count") <= 0
     outage = t.contains("outage") & ~X.has(t, "runtime", "availability")
     invented = missing & X.has(t, *RECONCILIATION_TERMS)
     calm = X.lower0("final_risk_level").isin("stable", "normal", "low") & (num("overall_risk_score") < 0.20)
     wrong = calm & ~act.contains("no action") & (act != "")
     flags = {"missing_evidence_flag": missing, "unsupported_explanation_flag": X.has(t, *OVERCONFIDENT), "hallucination_flag": outage | invented, "wrong_action_flag": wrong}
-    d = rows.select("*", *[e.cast("int").alias(n) for n, e in flags.items()])
+    d = rows.select("*", *[e.cast("int").alias(n) for n, e in flags.items()]).drop("_t")
     n = sum(c(x) for x in flags)
     return d.withColumn("issue_count", n).withColumn("validation_status", F.when(n == 0, "PASS").otherwise("FAIL"))
 

@@ -371,7 +371,8 @@ WORDS = {"short": ["the ", "and "], "french": ["eau", "tion"], "mark": ["%%%", "
   lambda x: x IS NOT NULL), ',') AS labels FROM (SELECT doc_id, lower(text) AS t FROM documents) x""",
 )
 def keyword_hits(i):
-    return i.documents.select("doc_id", F.array_join(X.keyword_hits("text", WORDS), ",").alias("labels"))
+    texts = i.documents.select("doc_id", F.lower("text").alias("t"))
+    return texts.select("doc_id", F.array_join(X.keyword_hits("t", WORDS, lowered=True), ",").alias("labels"))
 
 
 @query("page_event_filter", "P34", "event_type page_hits:i view_hits:i",

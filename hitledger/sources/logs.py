@@ -17,6 +17,15 @@ COOKIE_COLUMNS = (
 ).split()
 
 
+# stands between the fields of a matched line; log writers escape control characters
+MARK = "\u0001"
+
+
+def _fields(text: Column, pattern: str, n: int) -> Column:
+    """All groups of a line from one match; a line that does not match stays one field."""
+    return F.split(F.regexp_replace(text, pattern, MARK.join(f"${i + 1}" for i in range(n))), MARK)
+
+
 def parse_access_log(lines: DataFrame, line: str = "line", keep=()) -> tuple[DataFrame, DataFrame]:
     """Typed hits of well-formed lines, and the lines that could not be read.
 
@@ -24,10 +33,11 @@ def parse_access_log(lines: DataFrame, line: str = "line", keep=()) -> tuple[Dat
     """
     text = F.trim(F.col(line))
     filled = lines.where(text != "")
-    good = F.coalesce(text.rlike(LINE) & X.apache_ts(F.regexp_extract(text, LINE, 2)).isNotNull(), F.lit(False))
-    part = lambda i: F.regexp_extract(F.trim(F.col(line)), LINE, i)
     names = ("ip", "_ts", "method", "url_raw", "protocol", "status", "bytes", "_ref", "ua", "kv_raw")
-    d = filled.where(good).select(*keep, *[part(i + 1).alias(n) for i, n in enumerate(names)])
+    fields = _fields(text, LINE, len(names))
+    good = (F.size(fields) == len(names)) & X.apache_ts(fields[1]).isNotNull()
+    d = filled.select(*keep, line, fields.alias("_f")).where((F.size("_f") == len(names)) & X.apache_ts(F.col("_f")[1]).isNotNull())
+    d = d.select(*keep, *[F.col("_f")[i].alias(n) for i, n in enumerate(names)])
     d = d.withColumn("kv", X.parse_kv("kv_raw"))
     kv = lambda k: F.try_element_at("kv", F.lit(k))
     path, query = X.split_path_query("url_raw")
@@ -54,9 +64,9 @@ DEDUP = ("dt", "ts", "ip", "method", "url_raw", "status", "uid", "pcid", "sid")
 def parse_access_log_range(lines: DataFrame, base_url: str, first: str, last: str, dedup: bool = False, line: str = "line", keep=()) -> DataFrame:
     """Looser variant: optional tail, URLs joined to a base, a date range, exact repeats dropped on request."""
     text = F.col(line)
-    part = lambda i: F.regexp_extract(text, LOOSE_LINE, i)
     names = ("ip", "_ts", "method", "url_raw", "_status", "_bytes", "ref", "ua", "kv_raw")
-    d = lines.where(text.rlike(LOOSE_LINE)).select(*keep, *[part(i + 1).alias(n) for i, n in enumerate(names)])
+    d = lines.select(*keep, _fields(text, LOOSE_LINE, len(names)).alias("_f")).where(F.size("_f") == len(names))
+    d = d.select(*keep, *[F.col("_f")[i].alias(n) for i, n in enumerate(names)])
     d = d.withColumn("ts", X.apache_ts("_ts")).withColumn("dt", F.to_date("ts")).where(F.col("dt").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     url = X.resolve_url(base_url, "url_raw")
     d = d.select("*", *[c.alias(n) for n, c in url.items()])
