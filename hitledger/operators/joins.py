@@ -67,14 +67,17 @@ def match_nearest(left: DataFrame, right: DataFrame, left_key, right_keys, left_
     anchors = left.withColumn("k", left_key).withColumn("t", F.col(left_time))
     offered = right.select(F.explode(F.array(*right_keys)).alias("k"), F.col(right_time).alias("t"), row.alias("row"))
     near = nearest_in_time(anchors.where("t IS NOT NULL"), offered.where("t IS NOT NULL"), slice_seconds)
-    lowest = offered.groupBy("k").agg(F.min("row").alias("lowest"))
-    blank_time = F.struct(F.lit(None).cast("bigint").alias("gap"), F.col("lowest").alias("row"), F.lit(None).cast("bigint").alias("t"))
-    return (
-        anchors.join(near, ["k", "t"], "left")
-        .join(lowest, "k", "left")
-        .withColumn("best", F.coalesce("best", F.when(F.col("lowest").isNotNull(), blank_time)))
-        .drop("lowest", "k", "t")
-    )
+    # keys whose candidates all lack a time: settled on the reduced points, not on the anchors
+    untimed = offered.where("t IS NULL").groupBy("k").agg(F.min("row").alias("lowest"))
+    blank = F.struct(F.lit(None).cast("bigint").alias("gap"), F.col("lowest").alias("row"), F.lit(None).cast("bigint").alias("t"))
+    near = near.join(untimed, "k", "left").select("k", "t", F.coalesce("best", F.when(F.col("lowest").isNotNull(), blank)).alias("best"))
+    timed = anchors.where("t IS NOT NULL").join(near, ["k", "t"], "left")
+    # anchors without a time, usually none
+    lost = anchors.where("t IS NULL")
+    asked = lost.select("k").distinct()
+    lowest = offered.join(asked, "k", "left_semi").groupBy("k").agg(F.min("row").alias("lowest"))
+    rest = lost.join(lowest, "k", "left").withColumn("best", F.when(F.col("lowest").isNotNull(), blank)).drop("lowest")
+    return timed.unionByName(rest).drop("k", "t")
 
 
 def positional_pair(a: DataFrame, b: DataFrame, keys, a_order, b_order, a_slice: Column, b_slice: Column) -> DataFrame:

@@ -42,7 +42,8 @@ def bt(i):
 
 
 def ts(i):
-    return R.match_transaction_state(i.transaction_events, i.state_events)
+    # states are derived by a join here; a deployment reads them as a table
+    return R.match_transaction_state(i.transaction_events, materialize(i.state_events, "states"))
 
 
 @query("match_behavior_transaction", "J01", "profile_id journey_id:i order_id:i behavior_id:i tx_id:i behavior_stage transaction_event mapping_status orphan_flag:i duplicate_flag:i time_gap_ms:i",
