@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import numbers as N
 from .joins import union_keys_left_join
 from .split import lag_in_slices, micros, time_slice
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numbers as N, text as X
-from .evidence import is_reference, num
+from .evidence import num
 
 SCOPE = ("profile_id", "dt", "scenario_name")
 c = F.col
