@@ -145,7 +145,6 @@ def plan(counts: np.ndarray, capacity: int, groups: int = 512, small: int | None
     the small lengths go, longest first, where they fit best. The work depends
     on the number of lengths, not of pieces.
     """
-    small = capacity // 8 if small is None else small
     counts = counts.astype(np.int64).copy()
     runs: list[tuple[int, int, int, int, int]] = []
     sequences = int(counts[capacity])
@@ -213,6 +212,12 @@ def plan(counts: np.ndarray, capacity: int, groups: int = 512, small: int | None
     return dict(zip(("length", "first", "n", "sequence", "offset"), table.T))
 
 
+def best_plan(counts: np.ndarray, capacity: int, groups: int) -> dict[str, np.ndarray]:
+    """The plan of the fewest sequences, over where large lengths begin."""
+    tried = [plan(counts, capacity, groups, capacity // share) for share in (8, 4, 3, 2)]
+    return min(tried, key=lambda p: int((p["sequence"] + p["n"]).max(initial=0)))
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, groups: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's tokens in as few sequences of ``capacity`` as the plan finds.
 
@@ -234,7 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r["length"]] = r["n"]
-    runs = plan(counts, capacity, groups)
+    runs = best_plan(counts, capacity, groups)
     shift = 44
     keys = (runs["length"] << shift) | runs["first"]
 
