@@ -63,6 +63,25 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def per_text(make, kind: str):
+    """Column function that maps each text (null: empty) by ``make()``, one call of ``make`` per task.
+
+    It counts as not deterministic, so a filter on its result does not run it twice.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    target = to_arrow_type(DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = make()
+        for b in batches:
+            yield pa.array([work(t or "") for t in b.to_pylist()], type=target)
+
+    return run.asNondeterministic()
+
+
 # a bitmap of this many bits is the most that is ever broadcast for an id filter
 BITMAP_WORDS = 1 << 17
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as C
-from . import exact_dedup, packing
+from . import decontaminate, exact_dedup, packing, secret_scan, sharding, spans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, C.table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        F.col("is_toxic").cast("int").alias("predicted"),
+        "toxic_sentences",
+    )
+
+
 EXACT_SQL = f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{C.UPPER}', '{C.UPPER.lower()}') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -44,3 +57,37 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 @query("op4_exact_dedup", EXACT_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(C.table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, C.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id",
+        F.col("leak.item").alias("item_id"),
+        F.col("leak.score").alias("score"),
+        F.col("leak.question").alias("question_overlap"),
+        F.col("leak.answer").alias("answer_overlap"),
+        F.col("leak.word").alias("passage_start"),
+    )
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan_secrets(docs).select("doc_id", "secrets")
+    base, added = F.col("secrets.base"), F.col("secrets.added")
+    order = F.array_sort(F.concat(base, added), lambda a, b: spans.by_place(a, b, secret_scan.KINDS))
+    return found.select(
+        "doc_id",
+        *[spans.count_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        spans.digest(base).alias("base_sha256"),
+        spans.text_of(order).alias("spans"),
+        spans.count_of(added, "entropy").alias("n_entropy"),
+    )
+
+
+@query("op9_vector_sharding")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(C.table(spark, sf_dir, "documents"))
