@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as C
-from . import decontaminate, exact_dedup, packing, secret_scan, sharding, spans, toxicity
+from . import decontaminate, exact_dedup, near_dedup, packing, secret_scan, sharding, spans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_vector_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(C.table(spark, sf_dir, "documents"))
+
+
+@query("op8_minhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(C.table(spark, sf_dir, "documents"))
