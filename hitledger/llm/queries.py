@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as C
-from . import decontaminate, exact_dedup, near_dedup, packing, secret_scan, sharding, spans, toxicity
+from . import decontaminate, exact_dedup, licenses, near_dedup, packing, pii, secret_scan, sharding, spans, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(C.table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model")).select("doc_id", "n_tokens", "token_score")
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(C.table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    order = F.array_sort(F.concat("base", "added"), lambda a, b: spans.by_place(a, b, pii.KINDS))
+    return found.select(
+        "doc_id",
+        *[spans.count_of(base, k).alias(f"n_{k}") for k in pii.KINDS],
+        spans.digest(base).alias("base_sha256"),
+        spans.text_of(order).alias("spans"),
+        F.size("added").cast("bigint").alias("n_added"),
+    )
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).select("doc_id", "license", "license_paragraphs")
