@@ -18,6 +18,7 @@ REGISTERS, BASE, RATE, TOP = 128, 1.001, 20.0, (1 << 16) - 1
 # a band is 4 registers: 32 bands of neighbours, 16 of registers 32 apart
 ROWS = 4
 BANDS = [tuple(range(ROWS * k, ROWS * (k + 1))) for k in range(REGISTERS // ROWS)] + [tuple(k + 32 * j for j in range(ROWS)) for k in range(16)]
+ORDERS = 4
 # pairs whose estimate is this far below the limit (four standard errors) are not verified
 MARGIN = 0.15
 FACTORS = np.random.default_rng(11).integers(1, 2**63, size=REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -111,21 +112,22 @@ def pairs_map(df: DataFrame, fn, schema: str, names: list[str]) -> DataFrame:
 def candidates(nodes: DataFrame, limit: float) -> DataFrame:
     """Pairs of nodes in one bucket, each member with the bucket's centres, that may reach the limit.
 
-    Centres are the smallest set, the node of least hash, and two nodes chosen
-    by a hash of bucket and node; a bucket of any size gives at most four pairs
-    for each member.
+    Centres are the smallest set, the node of least hash, and the first node in
+    one of ORDERS orders, which bands take in turn; a bucket of any size gives
+    at most three pairs for each member, and members of a large group meet
+    the same few centres in many buckets.
     """
     at = lambda i: F.substring("regs", 2 * i + 1, 2)
     keys = [F.xxhash64(F.lit(k), *[at(i) for i in band]) for k, band in enumerate(BANDS)]
-    banded = nodes.select("node", "n", F.explode(F.array(*keys)).alias("key"))
+    banded = nodes.select("node", "n", F.posexplode(F.array(*keys)).alias("band", "key"))
+    turn = f"pmod(band, {ORDERS})"
     centres = banded.groupBy("key").agg(
         F.count("*").alias("members"),
         F.expr("min_by(node, shiftleft(n, 36) + pmod(node, 68719476736L))").alias("c0"),
         F.expr("min_by(node, xxhash64(node))").alias("c1"),
-        F.expr("min_by(node, xxhash64(node, key))").alias("c2"),
-        F.expr("max_by(node, xxhash64(node, key))").alias("c3"),
+        F.expr(f"min_by(node, xxhash64(node, {turn}))").alias("c2"),
     )
-    centres = centres.where("members > 1").select("key", F.array_distinct(F.array("c0", "c1", "c2", "c3")).alias("centres"))
+    centres = centres.where("members > 1").select("key", F.array_distinct(F.array("c0", "c1", "c2")).alias("centres"))
     met = banded.join(centres, "key").select("node", F.explode("centres").alias("centre")).where("node != centre")
     pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
@@ -183,12 +185,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have no set and link with nothing. Rows are linked when their sets share
     ``percent`` in a hundred of their union. component_id is the least id
     reachable, kept says that it is the row's own; repeated rows share it. Rows
-    without an id count as the member of their component and are kept only if
-    no row with an id is in it. Other columns are not read; an empty table
+    without an id belong to the component of their text; where no row of an
+    equal set has an id they link with nothing and component_id is null. Other columns are not read; an empty table
     gives no rows.
 
     Rows of equal sets become one node at once. Sketches (256 bytes) are banded;
-    in each bucket every node meets at most four centres, so no bucket is
+    in each bucket every node meets at most three centres, so no bucket is
     expanded to its pairs; likely pairs are verified on full sets, first the
     best partner of each node, then those that still join two components.
     """
@@ -210,16 +212,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets.select(node(F.col("s.n"), F.col("s.f1"), F.col("s.f2")).alias("node"), "s.set").groupBy("node").agg(F.first("set").alias("set"))
     sets = materialize(sets, "sets")
 
-    ends = pairs.select(F.col("a").alias("node"), "a", "b", "j").union(pairs.select(F.col("b").alias("node"), "a", "b", "j"))
-    best = ends.groupBy("node").agg(F.max_by("a", "j").alias("a"), F.max_by("b", "j").alias("b")).select("a", "b").distinct()
+    # likely partners: the one that most others have too, so that trees are flat; else the likeliest
+    turned = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "a", "b", "j").union(pairs.select(F.col("b"), F.col("a"), "a", "b", "j"))
+    order = F.when(F.col("j") >= percent / 100 + 0.03, F.col("other") / 2.0**63).otherwise(3 - F.col("j"))
+    best = turned.groupBy("node").agg(F.min_by(F.struct("a", "b"), order).alias("pair")).select("pair.*").distinct()
     best = materialize(best, "best")
     edges = materialize(verified(best, sets, percent).select("a", "b"), "links")
     roots = components(edges)
     side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = materialize(verified(rest, sets, percent).select("a", "b"), "links")
-    roots = components(edges.unionByName(more))
+    rest = rest.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "ab"}).where("root_a != root_b")
+    rest = materialize(rest, "rest")
+    more = verified(rest, sets, percent).select("a", "b").join(rest, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    # the components so far are the nodes of the links that are left
+    over = components(materialize(more.distinct(), "links")).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    touched = roots.select("node", "root").union(over.select("root", "root")).distinct()
+    roots = touched.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
 
     reached = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = reached.groupBy("root").agg(F.min("rep").alias("component"))
