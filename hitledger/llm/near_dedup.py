@@ -21,6 +21,8 @@ BANDS = [tuple(range(ROWS * k, ROWS * (k + 1))) for k in range(REGISTERS // ROWS
 ORDERS = 4
 # pairs whose estimate is this far below the limit (four standard errors) are not verified
 MARGIN = 0.15
+# members of a bucket compared at a time, and shingles of a block when components are compared whole
+PART, BLOCK = 512, 400_000
 FACTORS = np.random.default_rng(11).integers(1, 2**63, size=REGISTERS, dtype=np.uint64) | np.uint64(1)
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GRID = np.linspace(0.0, 1.0, 81)
@@ -109,13 +111,11 @@ def pairs_map(df: DataFrame, fn, schema: str, names: list[str]) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def candidates(nodes: DataFrame, limit: float) -> DataFrame:
-    """Pairs of nodes in one bucket, each member with the bucket's centres, that may reach the limit.
+def crowded(nodes: DataFrame) -> DataFrame:
+    """``node``, ``key`` and ``centres`` of every bucket that holds more than one node.
 
     Centres are the smallest set, the node of least hash, and the first node in
-    one of ORDERS orders, which bands take in turn; a bucket of any size gives
-    at most three pairs for each member, and members of a large group meet
-    the same few centres in many buckets.
+    one of ORDERS orders, which bands take in turn.
     """
     at = lambda i: F.substring("regs", 2 * i + 1, 2)
     keys = [F.xxhash64(F.lit(k), *[at(i) for i in band]) for k, band in enumerate(BANDS)]
@@ -128,8 +128,11 @@ def candidates(nodes: DataFrame, limit: float) -> DataFrame:
         F.expr(f"min_by(node, xxhash64(node, {turn}))").alias("c2"),
     )
     centres = centres.where("members > 1").select("key", F.array_distinct(F.array("c0", "c1", "c2")).alias("centres"))
-    met = banded.join(centres, "key").select("node", F.explode("centres").alias("centre")).where("node != centre")
-    pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    return banded.join(centres, "key").select("node", "key", "centres")
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
+    """The pairs that may reach the limit by the sets' sizes and the registers, with the estimate ``j``."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * limit)
 
@@ -141,6 +144,88 @@ def candidates(nodes: DataFrame, limit: float) -> DataFrame:
     return pairs_map(both, near, "a long, b long, j double", ["a", "b"])
 
 
+def candidates(buckets: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
+    """Likely pairs of a node and a centre of one of its buckets.
+
+    A bucket of any size gives at most three pairs for each member, and members
+    of a large group meet the same few centres in many buckets.
+    """
+    met = buckets.select("node", F.explode("centres").alias("centre")).where("node != centre")
+    return likely(met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), nodes, limit)
+
+
+def meeting(buckets: DataFrame, owned: DataFrame, limit: float) -> DataFrame:
+    """Pairs of components ``x`` and ``y`` with likely pairs in a bucket besides those of its centres, y the larger.
+
+    A large group of copies is one component by now and meets nobody in its own
+    buckets. Members are compared by their registers, PART against PART, and
+    give one row for each two components, so a bucket of any size neither falls
+    to one task nor becomes pairs.
+    """
+    placed = buckets.where("NOT array_contains(centres, node)").join(owned, "node").select("key", "node", "root", "n", "regs")
+    mixed = placed.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"), F.min("root").alias("low"), F.max("root").alias("high"))
+    placed = placed.join(mixed.where("low != high").select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    placed = placed.select("key", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "root", "n", "regs")
+
+    def compare(t: pa.Table) -> pa.Table:
+        part, root, n = (t.column(c).to_numpy() for c in ("part", "root", "n"))
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+        first, second = (np.flatnonzero(part == t.column(c)[0].as_py()) for c in ("first", "second"))
+        equal = np.zeros((len(first), len(second)), dtype=np.int16)
+        for r in range(REGISTERS):
+            equal += regs[first, r][:, None] == regs[second, r]
+        small, large = np.minimum(n[first][:, None], n[second]), np.maximum(n[first][:, None], n[second])
+        i, k = np.nonzero((equal >= REGISTERS * (limit - MARGIN)) & (root[first][:, None] != root[second]) & (small >= large * limit))
+        ends = np.sort(np.stack([root[first[i]], root[second[k]]], axis=1), axis=1)
+        ends = np.unique(ends, axis=0)
+        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+
+    pairs = placed.groupBy("key", "first", "second").applyInArrow(compare, "a long, b long").distinct()
+    sizes = owned.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("nodes"))
+    side = lambda x: sizes.select(F.col("root").alias(x), F.col("total").alias(f"total_{x}"), F.col("nodes").alias(f"nodes_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    pick = lambda low, high: F.when(F.col("total_a") > F.col("total_b"), F.col(high)).otherwise(F.col(low))
+    single = (F.col("nodes_a") == 1) & (F.col("nodes_b") == 1)
+    return both.select(pick("a", "b").alias("x"), pick("b", "a").alias("y"), F.greatest("total_a", "total_b").alias("total"), single.alias("single"))
+
+
+def in_blocks(meets: DataFrame, owned: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs of components, found by comparing all nodes of x with all of y, block against block.
+
+    A block holds about BLOCK shingles, so a component of any size is spread
+    over many tasks, and no pair of nodes becomes a row.
+    """
+    held = owned.join(sets, "node").select("root", "node", "n", "set")
+    asked = meets.select("x", "y").join(held.withColumnRenamed("root", "x"), "x")
+    per = asked.groupBy("y").agg(F.sum("n").alias("_asked")).join(meets.select("y", "total").distinct(), "y")
+    per = per.select("y", F.ceil(F.col("_asked") / BLOCK).alias("askers"), F.ceil(F.col("total") / BLOCK).alias("parts"))
+    place = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+    asked = asked.join(per, "y").withColumn("asker", place("askers")).withColumn("part", every("parts")).select("y", "asker", "part", "x", "set")
+    told = held.withColumnRenamed("root", "y").join(per, "y").withColumn("part", place("parts")).withColumn("asker", every("askers"))
+    told = told.select(F.col("y").alias("owner"), "part", "asker", F.col("set").alias("member"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        read = lambda sets: [np.frombuffer(s, dtype="<u8") for s in sets.to_pylist()]
+        members = read(right.column("member"))
+        links = []
+        if members:
+            words, at = np.unique(np.concatenate(members), return_inverse=True)
+            whose, n = np.repeat(np.arange(len(members)), [len(m) for m in members]), np.array([len(m) for m in members])
+            for x, y, q in zip(left.column("x").to_pylist(), left.column("y").to_pylist(), read(left.column("set"))):
+                spot = np.minimum(np.searchsorted(words, q), len(words) - 1)
+                held = np.zeros(len(words))
+                held[spot[words[spot] == q]] = 1
+                common = np.bincount(whose, weights=held[at], minlength=len(members)).astype(np.int64)
+                if (100 * common >= percent * (len(q) + n - common)).any():
+                    links.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    both = asked.groupBy("y", "asker", "part").cogroup(told.groupBy("owner", "asker", "part"))
+    return both.applyInArrow(compare, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the limit."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
@@ -190,9 +275,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows.
 
     Rows of equal sets become one node at once. Sketches (256 bytes) are banded;
-    in each bucket every node meets at most three centres, so no bucket is
-    expanded to its pairs; likely pairs are verified on full sets, first the
-    best partner of each node, then those that still join two components.
+    in each bucket every node first meets at most three centres. Likely pairs
+    are verified on full sets: the best partner of each node, then those that
+    still join two components. Components that then still meet in a bucket are
+    compared whole, in blocks, so no pair that shares a bucket is left out.
     """
     spark = C.session(docs)
     given = docs.select(C.quoted(id_col).alias("id"), C.quoted(text_col).alias("text"))
@@ -202,16 +288,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"))
     nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("regs").alias("regs"))
     nodes = materialize(nodes, "nodes")
-    pairs = materialize(candidates(nodes, percent / 100), "pairs")
-
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = rows.select("id", "node").join(met, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    maybe, _ = C.split_by_ids(given, F.col("id"), wanted, "id")
-    full = C.per_text(lambda: lambda t: {**(s := summary(t)), "set": shingles(t).tobytes()}, "struct<n:bigint,f1:bigint,f2:bigint,set:binary>")
-    sets = maybe.join(wanted.select("id"), "id", "left_semi").select(full(F.col("text")).alias("s"))
-    sets = sets.select(node(F.col("s.n"), F.col("s.f1"), F.col("s.f2")).alias("node"), "s.set").groupBy("node").agg(F.first("set").alias("set"))
-    sets = materialize(sets, "sets")
-
+    buckets = materialize(crowded(nodes), "buckets")
+    pairs = materialize(candidates(buckets, nodes, percent / 100), "pairs")
+
+    def full_sets(met: DataFrame) -> DataFrame:
+        """The sets of nodes, each from one of its rows."""
+        wanted = rows.select("id", "node").join(met, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+        maybe, _ = C.split_by_ids(given, F.col("id"), wanted, "id")
+        full = C.per_text(lambda: lambda t: {**(s := summary(t)), "set": shingles(t).tobytes()}, "struct<n:bigint,f1:bigint,f2:bigint,set:binary>")
+        sets = maybe.join(wanted.select("id"), "id", "left_semi").select(full(F.col("text")).alias("s"))
+        sets = sets.select(node(F.col("s.n"), F.col("s.f1"), F.col("s.f2")).alias("node"), "s.set").groupBy("node").agg(F.first("set").alias("set"))
+        return materialize(sets, "sets")
+
+    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """The components after links between some of them."""
+        over = components(materialize(links.distinct(), "links")).select(F.col("node").alias("root"), F.col("root").alias("over"))
+        touched = roots.select("node", "root").union(over.select("root", "root")).distinct()
+        return materialize(touched.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")), "roots")
+
+    ends = lambda d: d.select(F.col("a").alias("node")).union(d.select(F.col("b").alias("node"))).distinct()
+    sets = full_sets(ends(pairs))
     # likely partners: the one that most others have too, so that trees are flat; else the likeliest
     turned = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "a", "b", "j").union(pairs.select(F.col("b"), F.col("a"), "a", "b", "j"))
     order = F.when(F.col("j") >= percent / 100 + 0.03, F.col("other") / 2.0**63).otherwise(3 - F.col("j"))
@@ -223,11 +319,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = rest.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "ab"}).where("root_a != root_b")
     rest = materialize(rest, "rest")
-    more = verified(rest, sets, percent).select("a", "b").join(rest, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    # the components so far are the nodes of the links that are left
-    over = components(materialize(more.distinct(), "links")).select(F.col("node").alias("root"), F.col("root").alias("over"))
-    touched = roots.select("node", "root").union(over.select("root", "root")).distinct()
-    roots = touched.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    more = verified(rest, sets, percent).select("a", "b").join(rest, ["a", "b"])
+    roots = merged(roots, more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+
+    # what no centre reached: components that still meet in a bucket are compared whole
+    owned = nodes.join(roots, "node", "left").select("node", "n", "regs", F.coalesce("root", "node").alias("root"))
+    meets = materialize(meeting(buckets, owned, percent / 100), "meets")
+    single = materialize(likely(meets.where("single").select(F.col("x").alias("a"), F.col("y").alias("b")), nodes, percent / 100), "single")
+    groups = meets.where("NOT single")
+    members = owned.join(groups.select(F.col("x").alias("root")).union(groups.select("y")).distinct(), "root", "left_semi")
+    sets = full_sets(ends(single).union(members.select("node")).distinct())
+    last = verified(single, sets, percent).select("a", "b").union(in_blocks(groups, members, sets, percent))
+    roots = merged(roots, last)
 
     reached = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = reached.groupBy("root").agg(F.min("rep").alias("component"))

@@ -127,6 +127,36 @@ def sets_of(text):
     return frozenset(tuple(ws[i : i + 5]) for i in range(len(ws) - 4)) or (frozenset([tuple(ws)]) if ws else frozenset())
 
 
+def test_near_family(spark):
+    """A family of copies around the limit, where most pairs hold no centre, against all pairs."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for k in rng.choice(120, rng.integers(2, 9), replace=False):
+            words[k] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(words))
+    sets = [near_dedup.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for k in range(i):
+            common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[k]) - common):
+                low, high = sorted((find(i), find(k)))
+                root[high] = low
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(d).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert 1 < len(set(got.values())) < 300
+
+
 def test_near(docs, none):
     sets = {r[0]: sets_of(r[1]) for r in ROWS if r[0] is not None}
     root = {d: d for d in sets}
