@@ -21,11 +21,12 @@ SERIES = ("dimension_type", "dimension_key", "metric_name")
 def to_targets(history: DataFrame, targets: DataFrame, days: int = 30, include_target: bool = False, day: str = "dt") -> DataFrame:
     """Each history row once per target day whose trailing window holds it.
 
-    ``targets`` has profile_id and target_date.
+    ``targets`` has profile_id and target_date; it is spread over the days of
+    its windows, so history rows are copied only where a target needs them.
     """
-    first = 0 if include_target else 1
-    spread = F.explode(F.sequence(F.date_add(day, first), F.date_add(day, days)))
-    return history.withColumn("target_date", spread).join(targets.select("profile_id", "target_date").distinct(), ["profile_id", "target_date"])
+    last = F.col("target_date") if include_target else F.date_sub("target_date", 1)
+    window = F.explode(F.sequence(F.date_sub("target_date", days), last)).alias(day)
+    return history.join(targets.select("profile_id", "target_date").distinct().select("profile_id", "target_date", window), ["profile_id", day])
 
 
 def _stats(v: str, percentiles: dict[str, float]):

@@ -148,11 +148,10 @@ def authority_actions(classified: DataFrame, scope=SCOPE) -> DataFrame:
 def reference_actions(root_causes: DataFrame, top: int = 5, scope=SCOPE) -> DataFrame:
     """Supporting checks from the ``top`` root causes, each kind once, in rank order."""
     dim, value = X.lower0("root_cause_dimension"), F.coalesce(F.nullif("root_cause_value", F.lit("")), F.lit("UNKNOWN"))
-    short = F.when(F.length(value) <= 96, value).otherwise(F.concat(F.substring(value, 1, 93), F.lit("...")))
     pick = None
     for words, key, kind, sentence in R.REFERENCE_ACTIONS:
         head, tail = sentence.split("{}")
-        row = F.struct(F.lit(key).alias("key"), F.lit(kind).alias("action_type"), F.concat(F.lit(head), short, F.lit(tail)).alias("recommended_action"))
+        row = F.struct(F.lit(key).alias("key"), F.lit(kind).alias("action_type"), F.concat(F.lit(head), value, F.lit(tail)).alias("recommended_action"))
         cond = dim.rlike(words)
         pick = F.when(cond, row) if pick is None else pick.when(cond, row)
     rows = root_causes.where(c("root_cause_rank") <= top).select(*scope, "root_cause_rank", "root_cause_confidence", pick.alias("a")).where("a IS NOT NULL")

@@ -234,7 +234,7 @@ def observability_analysis(rows: DataFrame) -> DataFrame:
 def _candidates(rows: DataFrame, dimension: Column, value: Column, source: str, missing: Column, rates: dict[str, Column], evidence_rows: Column, fallback: Column | None = None, scope=SCOPE) -> DataFrame:
     """One candidate per segment row: (dimension, value, missing, total, rates, affected)."""
     items = F.array(*[F.struct(F.lit(n).alias("n"), F.coalesce(c.cast("double"), F.lit(0.0)).alias("r")) for n, c in rates.items()])
-    d = rows.select(*scope, dimension.alias("root_cause_dimension"), F.substring(value, 1, 191).alias("root_cause_value"), F.lit(source).alias("source_table"), missing.cast("double").alias("_missing"),
+    d = rows.select(*scope, dimension.alias("root_cause_dimension"), value.alias("root_cause_value"), F.lit(source).alias("source_table"), missing.cast("double").alias("_missing"),
                     items.alias("_rates"), evidence_rows.alias("evidence_row_count"), *([fallback.cast("double").alias("_fallback")] if fallback is not None else []))
     extra = [F.sum("_fallback").alias("_alt")] if fallback is not None else []
     totals = d.groupBy(*scope).agg(F.sum("_missing").alias("_total"), *extra)
@@ -259,12 +259,7 @@ def root_cause_candidates(app=None, sdk=None, url=None, client=None, metric=None
     if sdk is not None:
         parts.append(_candidates(sdk, F.lit("sdk_version"), slash("app_platform", "sdk_version"), "sdk_gap", c("missing_count"), full, one, scope=scope))
     if url is not None:
-        totals = url.groupBy(*scope).agg(F.sum("missing_count").alias("_all"))
-        best = top_gap_urls(url, 100, scope, ("app_platform", "app_version", "sdk_version", "surface_path")).join(totals, list(scope))
-        rows = _candidates(best, F.lit("url_path"), X.norm_blank("surface_path"), "url_gap", c("missing_count"), short, one, scope=scope)
-        # concentration is over all paths, not only the listed ones
-        share = totals.join(best.groupBy(*scope).agg(F.sum("missing_count").alias("_listed")), list(scope)).select(*scope, N.safe_div("_listed", "_all").alias("_part"))
-        parts.append(rows.join(share, list(scope)).withColumn("segment_concentration", c("segment_concentration") * c("_part")).drop("_part"))
+        parts.append(_candidates(url, F.lit("url_path"), X.norm_blank("surface_path"), "url_gap", c("missing_count"), short, one, scope=scope))
     if client is not None:
         parts.append(_candidates(client, F.lit("client"), slash("app_platform", "device_type", "browser_family", "os_family"), "client_gap", c("missing_count"), short, one, scope=scope))
     if metric is not None:

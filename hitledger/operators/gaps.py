@@ -34,7 +34,7 @@ def segment_columns(hits: DataFrame) -> DataFrame:
         out.withColumn("browser_family", X.browser_family("ua"))
         .withColumn("os_family", X.os_family("ua", "app_platform"))
         .withColumn("device_type", X.norm_blank("device_type"))
-        .withColumn("surface_path", X.norm_blank("path", 191))
+        .withColumn("surface_path", X.norm_blank("path"))
     )
 
 
@@ -94,7 +94,7 @@ def dim_metrics(hits: DataFrame, scope=SCOPE) -> DataFrame:
         F.when(F.col("_level") == 7, "all").when(F.col("_level") == 3, "app_platform").when(F.col("_level") == 1, "app_version")
         .when(F.col("_level") == 2, "sdk_version").otherwise("app_sdk")
     )
-    value = F.when(F.col("_level") == 7, "all").otherwise(F.substring(F.concat_ws("|", *APP), 1, 191))
+    value = F.when(F.col("_level") == 7, "all").otherwise(F.concat_ws("|", *APP))
     return out.select(*scope, kind.alias("dimension_type"), value.alias("dimension_value"), *METRICS)
 
 

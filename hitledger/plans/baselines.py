@@ -146,24 +146,18 @@ def feature_snapshot(i):
     return gap_features(i)
 
 
-# profiles of the last target day; the window is the feature
-RELATIONS["last_target"] = "SELECT profile_id, max(target_date) AS target_date FROM target_days GROUP BY ALL"
 _P = ", ".join(f"quantile_cont(metric_value, {q}) AS {n}" for n, q in (("median_value", 0.5), ("p75_value", 0.75), ("p90_value", 0.9), ("p95_value", 0.95), ("p99_value", 0.99)))
 RELATIONS["gap_profile"] = f"""SELECT *, greatest(0, mean_value - 3 * sd_value) AS lower_control_limit, mean_value + 3 * sd_value AS upper_control_limit, least(1, sample_days / 3) AS quality_score, CASE WHEN sample_days >= 3 THEN 'usable' ELSE 'low_sample' END AS baseline_status FROM (
   SELECT profile_id, target_date, baseline_type, dimension_type, dimension_key, metric_name, count(DISTINCT dt) AS sample_days, avg(metric_value) AS mean_value, stddev_pop(metric_value) AS sd_value, {_P}, min(metric_value) AS min_value, max(metric_value) AS max_value FROM (
-  SELECT f.*, target_date, unnest(CASE WHEN dayofweek(dt) = dayofweek(target_date) THEN ['rolling_30d', 'same_weekday'] ELSE ['rolling_30d'] END) AS baseline_type FROM gap_features f JOIN last_target t ON f.profile_id = t.profile_id AND f.dt BETWEEN t.target_date - 30 AND t.target_date - 1
+  SELECT f.*, target_date, unnest(CASE WHEN dayofweek(dt) = dayofweek(target_date) THEN ['rolling_30d', 'same_weekday'] ELSE ['rolling_30d'] END) AS baseline_type FROM gap_features f JOIN target_days t ON f.profile_id = t.profile_id AND f.dt BETWEEN t.target_date - 30 AND t.target_date - 1
   WHERE scenario_name = 'baseline') x GROUP BY ALL) y"""
 PROFILE_COLS = "profile_id target_date:date baseline_type dimension_type dimension_key metric_name sample_days:i mean_value:d sd_value:d median_value:d p75_value:d p90_value:d p95_value:d p99_value:d min_value:d max_value:d lower_control_limit:d upper_control_limit:d quality_score:d baseline_status"
 
 
-def last_target(features):
-    return features.groupBy("profile_id").agg(F.max("dt").alias("target_date"))
-
-
 @query("stat_profile", "B06", PROFILE_COLS, "SELECT * FROM gap_profile")
 def stat_profile(i):
     f = gap_features(i)
-    return B.stat_profile(f, last_target(i.source_hits))
+    return B.stat_profile(f, targets(i.source_hits))
 
 
 @query("baseline_reference", "B07", "profile_id target_date:date baseline_type sample_days:i fallback_policy is_usable:i quality_score:d baseline_start_date:date baseline_end_date:date",
@@ -176,17 +170,17 @@ def baseline_reference(i):
     return B.baseline_reference(days, targets(days))
 
 
-RELATIONS["gap_selected"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, dimension_type, dimension_key, metric_name ORDER BY CASE WHEN baseline_type = 'same_weekday' AND baseline_status = 'usable' THEN 3 WHEN baseline_type = 'rolling_30d' THEN 2 ELSE 1 END DESC, quality_score DESC) AS pick FROM gap_profile) x WHERE pick = 1"""
+RELATIONS["gap_selected"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, target_date, dimension_type, dimension_key, metric_name ORDER BY CASE WHEN baseline_type = 'same_weekday' AND baseline_status = 'usable' THEN 3 WHEN baseline_type = 'rolling_30d' THEN 2 ELSE 1 END DESC, quality_score DESC) AS pick FROM gap_profile) x WHERE pick = 1"""
 
 
 def profiled(i):
     f = materialize(gap_features(i), "gap-features")
-    return f, B.stat_profile(f, last_target(i.source_hits))
+    return f, B.stat_profile(f, targets(i.source_hits))
 
 
 @query("select_baseline", "J12", PROFILE_COLS, "SELECT * FROM gap_selected")
 def select_baseline(i):
-    return B.select_baseline(B.stat_profile(gap_features(i), last_target(i.source_hits)))
+    return B.select_baseline(B.stat_profile(gap_features(i), targets(i.source_hits)))
 
 
 @query("baseline_compare", "B09", f"{FEATURE_COLS} selected_baseline_type baseline_mean:d baseline_delta:d z_score:d percentile_band control_limit_breach:i severity",
@@ -199,13 +193,13 @@ def baseline_compare(i):
     return B.baseline_compare(f, p)
 
 
-RELATIONS["gap_recent"] = """SELECT f.profile_id, t.target_date, dimension_type, dimension_key, metric_name, avg(metric_value) AS recent_mean, count(DISTINCT dt) AS recent_sample_days FROM gap_features f JOIN last_target t
+RELATIONS["gap_recent"] = """SELECT f.profile_id, t.target_date, dimension_type, dimension_key, metric_name, avg(metric_value) AS recent_mean, count(DISTINCT dt) AS recent_sample_days FROM gap_features f JOIN target_days t
   ON f.profile_id = t.profile_id AND f.dt BETWEEN t.target_date - 6 AND t.target_date WHERE scenario_name = 'baseline' GROUP BY ALL"""
 
 
 @query("recent_mean", "W10", "profile_id target_date:date dimension_type dimension_key metric_name recent_mean:d recent_sample_days:i", "SELECT * FROM gap_recent")
 def recent_mean(i):
-    return B.recent_mean(gap_features(i), last_target(i.source_hits))
+    return B.recent_mean(gap_features(i), targets(i.source_hits))
 
 
 RELATIONS["gap_expected"] = """SELECT *, CASE WHEN model_status = 'usable' AND dimension_quality_status = 'ok' THEN 'usable' WHEN model_status = 'missing_baseline' THEN 'missing' ELSE 'low_quality' END AS quality_status,
@@ -218,16 +212,16 @@ RELATIONS["gap_expected"] = """SELECT *, CASE WHEN model_status = 'usable' AND d
   SELECT f.*, r.mean_value AS rolling_mean, coalesce(r.sd_value, 0) AS rsd, coalesce(r.sample_days, 0) AS rolling_sample_days, coalesce(q.recent_sample_days, 0) AS recent_sample_days, CASE WHEN w.sample_days >= 3 THEN w.mean_value ELSE r.mean_value END AS sel,
     CASE WHEN w.sample_days >= 3 THEN w.sample_days ELSE coalesce(r.sample_days, 0) END AS selected_sample_days, CASE WHEN w.sample_days >= 3 THEN w.quality_score ELSE coalesce(r.quality_score, 0) END AS baseline_quality_score,
     coalesce(q.recent_mean, CASE WHEN w.sample_days >= 3 THEN w.mean_value ELSE r.mean_value END) AS rec
-  FROM gap_features f JOIN last_target t ON f.dt = t.target_date LEFT JOIN (SELECT * FROM gap_profile WHERE baseline_type = 'rolling_30d') r ON f.dimension_type = r.dimension_type AND f.dimension_key = r.dimension_key AND f.metric_name = r.metric_name
-  LEFT JOIN (SELECT * FROM gap_profile WHERE baseline_type = 'same_weekday') w ON f.dimension_type = w.dimension_type AND f.dimension_key = w.dimension_key AND f.metric_name = w.metric_name
-  LEFT JOIN gap_recent q ON f.dimension_type = q.dimension_type AND f.dimension_key = q.dimension_key AND f.metric_name = q.metric_name) a) b) c"""
+  FROM gap_features f JOIN target_days t ON f.profile_id = t.profile_id AND f.dt = t.target_date LEFT JOIN (SELECT * FROM gap_profile WHERE baseline_type = 'rolling_30d') r ON f.profile_id = r.profile_id AND f.dt = r.target_date AND f.dimension_type = r.dimension_type AND f.dimension_key = r.dimension_key AND f.metric_name = r.metric_name
+  LEFT JOIN (SELECT * FROM gap_profile WHERE baseline_type = 'same_weekday') w ON f.profile_id = w.profile_id AND f.dt = w.target_date AND f.dimension_type = w.dimension_type AND f.dimension_key = w.dimension_key AND f.metric_name = w.metric_name
+  LEFT JOIN gap_recent q ON f.profile_id = q.profile_id AND f.dt = q.target_date AND f.dimension_type = q.dimension_type AND f.dimension_key = q.dimension_key AND f.metric_name = q.metric_name) a) b) c"""
 
 
 def expected(i):
     f, p = profiled(i)
-    last = last_target(i.source_hits)
-    now = f.join(last.withColumnRenamed("target_date", "dt"), ["profile_id", "dt"], "left_semi")
-    return B.expected_metric(now, p, B.recent_mean(f, last))
+    days = targets(i.source_hits)
+    now = f.join(days.withColumnRenamed("target_date", "dt"), ["profile_id", "dt"], "left_semi")
+    return B.expected_metric(now, p, B.recent_mean(f, days))
 
 
 @query("expected_metric", "B10", f"{FEATURE_COLS} rolling_mean:d selected_sample_days:i recent_sample_days:i baseline_quality_score:d expected_value:d expected_lower:d expected_upper:d expected_delta:d expected_delta_rate:d expected_breach:i expected_confidence:d model_status dimension_quality_status quality_status",

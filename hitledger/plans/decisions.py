@@ -198,8 +198,7 @@ MG = ", ".join(f"max(gap_rate) FILTER (metric_name = '{m}') AS {m}" for m in ("e
 RELATIONS["cause_rows"] = " UNION ALL ".join([
     cand(gap_sql(APP), "'app_version'", slash("app_platform", "app_version", "sdk_version"), "app_gap", "missing_count", FULL),
     cand(gap_sql("app_platform, sdk_version"), "'sdk_version'", slash("app_platform", "sdk_version"), "sdk_gap", "missing_count", FULL),
-    cand(f"SELECT * FROM (SELECT *, sum(missing_count) OVER (PARTITION BY {S}) AS whole, row_number() OVER (PARTITION BY {S} ORDER BY missing_count DESC, missing_rate DESC, {APP}, surface_path) AS rn FROM ({gap_sql(APP + ', surface_path')}) g) t WHERE rn <= 100",
-         "'url_path'", "surface_path", "url_gap", "missing_count", SHORT, total="whole"),
+    cand(gap_sql(APP + ", surface_path"), "'url_path'", "surface_path", "url_gap", "missing_count", SHORT),
     cand(gap_sql(APP + ", device_type, browser_family, os_family"), "'client'", slash("app_platform", "device_type", "browser_family", "os_family"), "client_gap", "missing_count", SHORT),
     cand(f"SELECT {S}, dimension_type, dimension_value, sum(missing_value) AS missing_count, count(*) AS nr, {MG} FROM metric_gap_day GROUP BY ALL", "'metric_' || dimension_type", "dimension_value", "metric_gap", "missing_count", [(m, m) for m in ("event_count", "pv", "uv", "visit", "conversion")], "nr"),
     cand("SELECT * FROM identity_gap_day", "'app_version'", slash("app_platform", "app_version", "sdk_version"), "identity_gap", "uid_missing_count", IDR, total=_alt("uid_missing_count", "identity_integrity_gap")),
@@ -211,7 +210,7 @@ RELATIONS["causes"] = f"""SELECT *, {band('propagation_strength', ((0.7, 'high')
   SELECT *, least(1, 0.3 * segment_concentration + 0.25 * multi + 0.25 * statistical_severity_score + 0.2 * propagation_strength) AS root_cause_confidence FROM (
   SELECT *, greatest(least(1, greatest(mx, av) * 3) * 0.65, kpi_distortion_score * 0.55) AS statistical_severity_score, least(1, 0.55 * multi + CASE WHEN affected_metrics >= 3 THEN 0.2 ELSE 0 END) AS propagation_strength FROM (
   SELECT *, least(1, affected_metrics / 5) AS multi FROM (
-  SELECT {S}, root_cause_dimension, substr(root_cause_value, 1, 191) AS root_cause_value, source_table, evidence_row_count, segment_concentration, len(list_filter(rates, lambda x: x.r > 0.01)) AS affected_metrics, array_to_string(list_transform(list_filter(rates, lambda x: x.r > 0.01), lambda x: x.n), ',') AS affected_metric_list,
+  SELECT {S}, root_cause_dimension, root_cause_value, source_table, evidence_row_count, segment_concentration, len(list_filter(rates, lambda x: x.r > 0.01)) AS affected_metrics, array_to_string(list_transform(list_filter(rates, lambda x: x.r > 0.01), lambda x: x.n), ',') AS affected_metric_list,
     list_max(list_transform(rates, lambda x: x.r)) AS mx, list_avg(list_transform(rates, lambda x: x.r)) AS av, list_avg(list_transform(rates, lambda x: least(x.r, 1))) AS kpi_distortion_score FROM cause_rows) a) b) c) d"""
 CAUSE = "segment_concentration:d affected_metrics:i affected_metric_list propagation_strength:d propagation_level statistical_severity_score:d statistical_severity_level kpi_distortion_score:d root_cause_confidence:d confidence_level analysis_status"
 

@@ -88,8 +88,8 @@ def models(i, trees=20):
 
 @query("predict_risk", "M04 M05 M06", f"{HEAD} predicted_label ml_risk_grade overall_risk_score:d")
 def predict_risk(i):
-    _, test, cls, reg = models(i)
-    return M.predict(cls, reg, test, NUMBERS, TEXTS)
+    rows, _, cls, reg = models(i)
+    return M.predict(cls, reg, rows, NUMBERS, TEXTS)
 
 
 @query("classification_report", "M04 M10", "label support:i precision:d recall:d f1:d")
