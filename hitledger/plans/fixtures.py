@@ -152,9 +152,13 @@ def _render(text: str, engine: str) -> str:
     return text
 
 
+# day facts that several relations read; computed once
+WRITTEN = ("gap_features", "gap_profile", "gap_recent")
+
+
 def with_relations(body: str, final: str) -> str:
     """DuckDB text: the relations ``body`` reads, ``body`` as ``answer``, then ``final``."""
-    parts = [f"{n} AS ({s.strip()})" for n, s in _closure(body).items()]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in WRITTEN else ''}({s.strip()})" for n, s in _closure(body).items()]
     parts.append(f"answer AS ({body.strip()})")
     return _render("WITH " + ",\n".join(parts) + "\n" + final, "duckdb")
 
