@@ -232,11 +232,11 @@ def baseline_compare(features: DataFrame, profile: DataFrame) -> DataFrame:
     cur, m, sd, up = (F.col(c) for c in ("metric_value", "mean_value", "sd_value", "upper_control_limit"))
     delta = cur - m
     z = F.when(F.coalesce(F.abs(sd) < 1e-12, F.lit(True)), F.when(F.abs(delta) < 1e-12, 0.0).otherwise(999.0)).otherwise(delta / F.when(F.abs(sd) >= 1e-12, sd))
-    breach = F.coalesce((cur > up).cast("int"), F.lit(0))
+    # rounded, so that a value on a limit does not depend on summation order
+    breach = F.coalesce((F.round(cur - up, 9) > 0).cast("int"), F.lit(0))
     band = F.when(cur.isNull(), "unknown")
     for p in (99, 95, 90, 75):
         band = band.when(cur >= F.col(f"p{p}_value"), f"p{p}_plus")
-    # rounded, so that a value on a limit does not depend on summation order
     zz = F.round(F.coalesce(F.abs(z), F.lit(0.0)), 9)
     severity = (
         F.when(cur.isNull() | (F.col("sample_days") <= 0), "unknown").when((breach == 1) & (zz >= 5), "critical")
