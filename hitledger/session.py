@@ -19,6 +19,10 @@ SETTINGS = {
 }
 
 
+# folders of local applications without the setting, which a running session does not take
+_own: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time SQL settings every operator relies on."""
     for key, value in SETTINGS.items():
@@ -55,8 +59,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="run-"))
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
