@@ -36,12 +36,12 @@ HEAD = "profile_id metric_minute:ts service_domain"
 @query("stream_minute_quality", "R01 R09", f"{HEAD} total_count:i avg_event_delay_ms:d max_event_delay_ms:i sla_breach_count:i status",
        f"SELECT l.*, d.total_count FROM latency_minutes l JOIN duplicate_minutes d USING (profile_id, metric_minute, service_domain) WHERE {CLOSED}")
 def stream_minute_quality(i):
-    return Q.run_bounded(Q.stream_minute_quality(messages(i), "10 minutes", 10000), "minutes")
+    return Q.run_whole(i.spark, "minutes", lambda end: Q.stream_minute_quality(Q.ending(messages(i), end), "10 minutes", 10000))
 
 
 @query("stream_duplicates", "R02", f"{HEAD} total_count:i duplicate_count:i duplicate_ratio:d", f"SELECT * FROM duplicate_minutes WHERE {CLOSED}")
 def stream_duplicates(i):
-    return Q.run_bounded(Q.stream_duplicates(messages(i)), "duplicates")
+    return Q.run_whole(i.spark, "duplicates", lambda end: Q.stream_duplicates(Q.ending(messages(i), end)))
 
 
 @query("stream_ordering", "R03", "profile_id service_domain stream_partition:i raw_event_id:i sequence_no:i prev_seq:i violation:i",
@@ -54,20 +54,19 @@ def stream_ordering(i):
        "SELECT raw_event_id, service_domain, CASE WHEN raw_event_id IN (SELECT raw_event_id FROM stream_events) THEN 1 ELSE 0 END AS arrived FROM expected_events WHERE ts < (SELECT max(ts) - INTERVAL 20 MINUTE FROM expected_events)")
 def stream_completeness(i):
     expected = events(i).select("profile_id", F.col("event_id").alias("raw_event_id"), "ts", F.col("event_type").alias("service_domain"))
-    actual = Q.stream_dedup_ingest(messages(i), ["raw_event_id"], "10 minutes")
-    out = Q.run_bounded(Q.stream_completeness(expected, actual, deduplicated=True), "completeness")
-    # rows whose wait is surely over
-    last = i.events.agg((F.max("ts") - F.expr("INTERVAL 20 MINUTES")).alias("mark"))
-    done = out.join(last, F.col("ts").cast("timestamp_ntz") < F.col("mark"))
-    return done.select("raw_event_id", "service_domain", F.col("arrived_id").isNotNull().cast("int").alias("arrived"))
+
+    def joined(end):
+        actual = Q.stream_dedup_ingest(Q.ending(messages(i), end), ["raw_event_id"], "10 minutes")
+        return Q.stream_completeness(Q.ending(expected, end), actual, deduplicated=True)
+
+    return Q.run_whole(i.spark, "completeness", joined).select("raw_event_id", "service_domain", F.col("arrived_id").isNotNull().cast("int").alias("arrived"))
 
 
 @query("stream_sessions", "R05", "profile_id user_id:i session_start:ts last_ts:ts events:i",
        """SELECT 'p0' AS profile_id, user_id, min(ts) AS session_start, max(ts) AS last_ts, count(*) AS events FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events) x) y
   GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE < (SELECT max(ts) - INTERVAL 60 MINUTE FROM events)""")
 def stream_sessions(i):
-    out = Q.run_bounded(Q.stream_sessions(events(i), "user_id"), "sessions")
-    return out
+    return Q.run_whole(i.spark, "sessions", lambda end: Q.stream_sessions(Q.ending(events(i), end), "user_id"))
 
 
 @query("stream_dedup_ingest", "R06", "raw_event_id:i service_domain", "SELECT DISTINCT raw_event_id, service_domain FROM stream_events")
@@ -78,7 +77,7 @@ def stream_dedup_ingest(i):
 @query("late_events", "R07", "profile_id metric_minute:ts events:i late_events:i max_delay_ms:i",
        f"SELECT * FROM (SELECT profile_id, date_trunc('minute', ts) AS metric_minute, count(*) AS events, count(*) FILTER (event_delay_ms > 10000) AS late_events, max(event_delay_ms) AS max_delay_ms FROM stream_events GROUP BY ALL) x WHERE {CLOSED}")
 def late_events(i):
-    return Q.run_bounded(Q.late_events(messages(i), 10000), "late")
+    return Q.run_whole(i.spark, "late", lambda end: Q.late_events(Q.ending(messages(i), end), 10000))
 
 
 @query("stream_sink_idempotent", "R08", "service_domain n:i", "SELECT service_domain, count(*) AS n FROM stream_events GROUP BY ALL")
@@ -96,7 +95,7 @@ def no_data_alert(i):
        """SELECT profile_id, window_end, count(*) AS events, avg(event_delay_ms) AS avg_delay_ms, avg(event_delay_ms) + 3 * stddev_pop(event_delay_ms) AS upper_limit_ms FROM (SELECT profile_id, event_delay_ms, unnest(generate_series(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 60 MINUTE, INTERVAL 1 MINUTE)) AS window_end FROM stream_events) x
   WHERE window_end <= (SELECT mark FROM watermark) GROUP BY ALL""")
 def sliding_baseline(i):
-    return Q.run_bounded(Q.sliding_baseline(messages(i)), "sliding")
+    return Q.run_whole(i.spark, "sliding", lambda end: Q.sliding_baseline(Q.ending(messages(i), end)))
 
 
 @query("message_round_trip", "S08 S09 R09", "canonical_event_id:i event_name service_domain latency_ms:i status:i", "SELECT hit_id AS canonical_event_id, evt AS event_name, service_domain, latency_ms, status FROM source_hits")

@@ -7,6 +7,7 @@ keep the last row of each key in a table between batches.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,7 +20,10 @@ c = F.col
 
 
 def run_bounded(stream: DataFrame, label: str, mode: str = "append", path: str | None = None) -> DataFrame:
-    """Drain what the source holds now into a table and stop; a restart goes on where it ended."""
+    """Drain what the source holds now into a table and stop; a restart goes on where it ended.
+
+    In append mode windows that the watermark has not passed stay in the state; ``run_whole`` gives them too.
+    """
     spark = stream.sparkSession
     path = path or scratch_dir(spark, label)
     query = (
@@ -30,6 +34,38 @@ def run_bounded(stream: DataFrame, label: str, mode: str = "append", path: str |
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
+def ending(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream and what ``folder`` holds: nothing, or the row that ``run_whole`` ends the time with."""
+    last = stream.sparkSession.readStream.schema("ts timestamp").parquet(folder)
+    # columns without nulls stay so: the keys of the state are the same with the row and without it
+    rest = {f.name: F.lit(None if f.nullable else "0").cast(f.dataType) for f in stream.schema if f.name != "ts"}
+    return stream.unionByName(last.select("ts", *[x.alias(n) for n, x in rest.items()]))
+
+
+def run_whole(spark: SparkSession, label: str, build: Callable[[str], DataFrame], path: str | None = None) -> DataFrame:
+    """Drain what the source holds now, windows that are still open included; a restart goes on where it ended.
+
+    ``build`` makes the stream, each of its sources joined by ``ending`` with the
+    folder it is given. Closed windows are appended as in ``run_bounded``. Then a
+    copy of the checkpoint is run on with a row at the end of all time, and what
+    that closes is the state of the open windows. The checkpoint itself never
+    sees that row, so later rows still find their windows open.
+    """
+    path = path or scratch_dir(spark, label)
+    jvm = spark._jvm
+    hadoop, conf = jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    none = hadoop.Path(f"{path}/none")
+    fs = none.getFileSystem(conf)
+    fs.mkdirs(none)
+    closed = run_bounded(build(f"{path}/none"), label, path=path)
+    fresh = f"{path}/open-{uuid.uuid4().hex}"
+    hadoop.FileUtil.copy(fs, hadoop.Path(f"{path}/checkpoint"), fs, hadoop.Path(f"{fresh}/checkpoint"), False, conf)
+    spark.sql("SELECT TIMESTAMP '9999-01-01' AS ts").write.parquet(f"{fresh}/end")
+    # batches are numbered on from the copy, so they are no sink of their own but folders
+    run_batches(build(f"{fresh}/end"), label, lambda batch, n, folder: batch.write.mode("overwrite").parquet(f"{folder}/data/{n}"), fresh)
+    return closed.unionByName(spark.read.schema(closed.schema).parquet(f"{fresh}/data/*"))
+
+
 def run_batches(stream: DataFrame, label: str, step: Callable[[DataFrame, int, str], None], path: str | None = None) -> str:
     """Run ``step(batch, batch_id, folder)`` for every micro-batch until the source is drained."""
     path = path or scratch_dir(stream.sparkSession, label)
