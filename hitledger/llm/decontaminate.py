@@ -18,6 +18,10 @@ K1, B = 1.2, 0.75
 # postings in one block; ranges of items that have a bound of their own; items and bytes of text in one index
 BLOCK, RANGES, ITEMS, BYTES = 32, 32, 4096, 8 << 20
 RUN = 3
+# a side of so many words is compared by single words
+SHORT = 4
+# share of the item's runs, or of those of its question, at which the passage holds it whatever the answer; of a question of so many words at least
+WHOLE, ASKED, LONG = 0.6, 0.9, 8
 FOUND = "array<struct<item:int,score:double,question:double,answer:double,word:int>>"
 
 
@@ -30,10 +34,17 @@ def runs(words: list[str], length: int) -> set[tuple[str, ...]]:
 
 
 def overlap_with(side: list[str], passage: list[str]) -> float:
-    """Share of the side's runs of words (all of it, where shorter) that the passage has."""
-    length = min(RUN, len(side))
+    """Share of the side's runs of words (of its words, where it is short) that the passage has."""
+    length = RUN if len(side) > SHORT else 1
     own = runs(side, length)
-    return len(own & runs(passage, length)) / len(own) if length else 1.0
+    return len(own & runs(passage, length)) / len(own) if own else 1.0
+
+
+def whole_with(item: list[str], passage: list[str]) -> float:
+    """Share of the item's runs of words (all of it, where shorter) that the passage has."""
+    length = min(RUN, len(item))
+    own = runs(item, length)
+    return len(own & runs(passage, length)) / len(own) if length else 0.0
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -46,6 +57,11 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return only[:cut], only[cut:]
 
 
+def held(question: list[str], answer: list[str], passage: list[str]) -> bool:
+    """Most of the item, or a long question nearly word for word, as where a copy is changed or cut off in its answer."""
+    return whole_with(question + answer, passage) >= WHOLE or (len(question) >= LONG and whole_with(question, passage) >= ASKED)
+
+
 class Index:
     """Inverted index of items of similar length; an item's scores are shares of its score against itself."""
 
@@ -145,7 +161,7 @@ class Index:
             for item, score in self.search([int(t) for t in np.unique(rows[k]) if t >= 0], limit):
                 passage = words[k * self.span : (k + 2) * self.span]
                 question, answer = (overlap_with(side, passage) for side in self.sides[item])
-                if question >= overlap and answer >= overlap:
+                if (question >= overlap and answer >= overlap) or held(*self.sides[item], passage):
                     best[item] = max(best.get(item, (0.0,)), (score, question, answer, int(k) * self.span))
         return [(i, *v) for i, v in sorted(best.items())]
 
@@ -193,7 +209,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Each passage of the whole text queries the items; all items whose BM25 score
     reaches ``limit`` of their score against themselves are retrieved, and those
     of whose question and answer runs of three words a share of ``overlap``
-    occurs in the passage are kept, with the best passage's figures. Items
+    occurs in the passage are kept, with the best passage's figures. A side of
+    at most four words is compared by words. An item is kept too if 0.6 of all
+    its runs, or 0.9 of those of a question of eight words or more, occur,
+    whatever became of its answer. Items
     without words, null and empty texts match nothing; an item that occurs
     twice is reported twice; an input column named ``leaks`` is replaced.
 
