@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as C
 
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-PARAGRAPH = re.compile(r"[^\n]+")
+PARAGRAPH = re.compile(r"[^\n]*\n")
 UNKNOWN = "unknown"
 # fixed values: statements as their licences or common use word them
+GPL = "it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 TEMPLATES = {
     "mit": (
         "Released under the MIT License.",
@@ -28,11 +30,60 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ),
+    "gpl-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify " + GPL.format("", 2),
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ),
+    "lgpl-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify " + GPL.format("Lesser ", 2.1),
+    ),
+    "lgpl-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify " + GPL.format("Lesser ", 3),
+    ),
+    "agpl-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify " + GPL.format("Affero ", 3),
+    ),
+    "mpl-2.0": (
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.",
+    ),
     "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "cc0-1.0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     "bsd-3-clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    "bsd-2-clause": ("Licensed under the BSD 2-Clause License.",),
+    "isc": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "unlicense": ("Released under the Unlicense.", "This is free and unencumbered software released into the public domain."),
     "all-rights-reserved": ("All rights reserved.", "Copyright holder. All rights reserved."),
 }
+# what the confirmed words must hold: the family's own name and version
+OWN = {
+    "mit": r"mit license|permission is hereby granted",
+    "apache-2.0": r"apache license.* 2(?:\.0)?\b",
+    "gpl-3.0": r"gnu general public license.* (?:version |v\.? ?)3\b",
+    "gpl-2.0": r"gnu general public license.* (?:version |v\.? ?)2\b",
+    "lgpl-2.1": r"lesser general public license.* (?:version |v\.? ?)2\.1\b",
+    "lgpl-3.0": r"lesser general public license.* (?:version |v\.? ?)3\b",
+    "agpl-3.0": r"affero general public license.* (?:version |v\.? ?)3\b",
+    "mpl-2.0": r"mozilla public license.* 2\.0\b",
+    "cc-by-nc-4.0": r"\b(?:by-nc|attribution-noncommercial) 4\.0\b",
+    "cc-by-sa-4.0": r"\b(?:by-sa|attribution-sharealike) 4\.0\b",
+    "cc-by-4.0": r"\b(?:by|attribution) 4\.0\b",
+    "cc0-1.0": r"cc0 1\.0|waived all copyright",
+    "bsd-3-clause": r"bsd 3-clause|redistribution and use",
+    "bsd-2-clause": r"bsd 2-clause",
+    "isc": r"isc license|permission to use",
+    "unlicense": r"unlicense|unencumbered software",
+    "all-rights-reserved": r"all rights reserved",
+}
+OWN = {family: re.compile(own) for family, own in OWN.items()}
+# the clause that BSD texts of two clauses lack
+THIRD = re.compile(r"neither\W+the\W+names?\b", re.I)
 # paragraphs of the corpus that the unknown class is fitted on, at most
 NEGATIVES, VARIANTS, STEPS = 500, 30, 300
 LIMIT, OVERLAP = 0.5, 0.6
@@ -60,31 +111,131 @@ class Model:
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def confirmed(self, words: list[str], near: dict[str, float]) -> tuple[str, float, float] | None:
+        """Family, probability and template overlap of words of which templates share ``near``, or None.
+
+        Families whose templates differ by a version share most of their words:
+        the probability is that of any of them, and the version words decide.
+        """
+        p = self.probabilities(words)
+        text = " ".join(words)
+        own = [f for f in near if OWN[f].search(text)]
+        total = float(sum(p[self.families.index(f)] for f in near))
+        if not own or total < LIMIT or total < p[-1]:
+            return None
+        family = max(own, key=lambda f: (near[f], p[self.families.index(f)]))
+        return family, min(1.0, total), near[family]
+
     def detect(self, text: str) -> list[tuple[str, float, float, int, int]]:
-        """Family, probability, template overlap, start and end of each paragraph with a confirmed family."""
-        found = []
-        for m in PARAGRAPH.finditer(text):
-            words = words_of(m[0])
-            if not any(w in self.number for w in words):
-                continue
-            p = self.probabilities(words)
-            k = int(p.argmax())
-            if k == len(self.families) - 1 or p[k] < LIMIT:
-                continue
-            near = compare(self.families[k], words)
-            if near >= OVERLAP:
-                found.append((self.families[k], float(p[k]), near, *m.span()))
-        return found
-
-
-def compare(family: str, words: list[str]) -> float:
-    """Largest share of a template's runs of up to three words that the paragraph has."""
-    own, most = grams(words), 0.0
-    for t in TEMPLATES[family]:
-        ws = words_of(t)
-        runs = {" ".join(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))}
-        most = max(most, len(runs & own) / len(runs))
-    return most
+        """Family, probability, template overlap, start and end of each paragraph with a confirmed family.
+
+        A line is a paragraph of its own. Lines up to one without words (blank,
+        or nothing but comment marks) are joined too, and the stretch of them
+        that a template covers is a paragraph if it runs over the end of a line.
+        """
+        found, block = [], []  # lines of the block: first place, words, families found
+        for m in PARAGRAPH.finditer(text + "\n"):
+            words, place = words_of(m[0]), (m.start(), m.end() - 1)
+            if words:
+                near = compare(words)
+                one = self.confirmed(words, near) if near else None
+                if one:
+                    found.append((*one, *place))
+                block.append((place, words, one and one[0]))
+            elif block:
+                found += self.wrapped(text, block)
+                block = []
+        found += self.wrapped(text, block)
+        found = [(bsd(f, text), *rest) for f, *rest in found]
+        return sorted(found, key=lambda x: x[3:])
+
+    def wrapped(self, text: str, block: list) -> list[tuple[str, float, float, int, int]]:
+        if len(block) < 2:
+            return []
+        joined = [w for _, words, _ in block for w in words[words[0] in MARKS :]]
+        if not compare(joined):
+            return []
+        # words with their lines and places
+        at = [(w[0].lower(), k, start + w.start(), start + w.end()) for k, ((start, end), _, _) in enumerate(block) for n, w in enumerate(WORD.finditer(text[start:end])) if n or w[0].lower() not in MARKS]
+        words = [w for w, *_ in at]
+        hits: dict[tuple[str, int], list[int]] = {}
+        for i, run in enumerate(zip(words, words[1:], words[2:])):
+            for t in RUNS.get(run, ()):
+                hits.setdefault(t, []).append(i)
+        best: dict[tuple[int, int], dict[str, float]] = {}
+        for t, places in hits.items():
+            for a, b in stretches(words, places, t):
+                if at[a][1] != at[b - 1][1]:
+                    best[a, b] = {}
+        found, taken = [], []
+        for a, b in best:
+            near = compare(words[a:b])
+            one = self.confirmed(words[a:b], near) if near else None
+            if one:
+                found.append((*one, a, b))
+        # of stretches that overlap, the one most shared, then the longest
+        kept = []
+        for f, p, near, a, b in sorted(found, key=lambda x: (-x[2], x[3] - x[4], x[0])):
+            if all(b <= s or e <= a for s, e in taken):
+                taken.append((a, b))
+                if not any(family == f and start <= at[a][2] and at[b - 1][3] <= end for (start, end), _, family in block):
+                    kept.append((f, p, near, at[a][2], at[b - 1][3]))
+        return kept
+
+
+def bsd(family: str, text: str) -> str:
+    """The common opening of BSD texts, named by whether the third clause occurs."""
+    if family != "bsd-3-clause" or THIRD.search(text) or re.search(r"(?i)bsd\W+3-clause", text):
+        return family
+    return "bsd-2-clause"
+
+
+def runs_of(words: list[str]) -> set[tuple[str, ...]]:
+    return set(zip(words, words[1:], words[2:]))
+
+
+# runs of three words of each template, and the templates of each run
+SHAPES = {(f, k): runs_of(words_of(t)) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)}
+LENGTH = {(f, k): len(words_of(t)) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)}
+RUNS: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+for _t, _runs in SHAPES.items():
+    for _r in _runs:
+        RUNS.setdefault(_r, []).append(_t)
+# comment marks that are words
+MARKS = frozenset({"rem", "dnl"})
+
+
+def compare(words: list[str]) -> dict[str, float]:
+    """Families of which a template's runs of three words occur by ``OVERLAP`` or more, with the largest share."""
+    own = RUNS.keys() & runs_of(words)
+    shared: dict[tuple[str, int], int] = {}
+    for r in own:
+        for t in RUNS[r]:
+            shared[t] = shared.get(t, 0) + 1
+    near: dict[str, float] = {}
+    for t, n in shared.items():
+        if n >= OVERLAP * len(SHAPES[t]):
+            near[t[0]] = max(near.get(t[0], 0.0), n / len(SHAPES[t]))
+    return near
+
+
+def stretches(words: list[str], places: list[int], template: tuple[str, int]) -> list[tuple[int, int]]:
+    """Parts of the words, one after the other, that hold enough of a template's runs within twice its length."""
+    most, need, found, k = 2 * LENGTH[template] + 10, OVERLAP * len(SHAPES[template]), [], 0
+    while k < len(places):
+        near = places[k : bisect_right(places, places[k] + most - 3)]
+        seen: set = set()
+        end = k
+        for n, i in enumerate(near):  # ends where nothing new comes
+            if tuple(words[i : i + 3]) not in seen:
+                seen.add(tuple(words[i : i + 3]))
+                end = k + n
+        if len(seen) >= need:
+            found.append((places[k], places[end] + 3))
+            k = end + 1
+        else:
+            k += 1
+    return found
 
 
 def softmax_fit(rows: list[list[int]], labels: np.ndarray, width: int, classes: int, steps: int = STEPS) -> np.ndarray:
@@ -147,18 +298,20 @@ def fit(negatives: list[str]) -> Model:
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every row with ``license`` (null where none) and ``license_paragraphs``.
 
-    Each line of the whole text is a paragraph; those with a known word are
-    classified, and a family other than unknown is kept if its probability is
-    at least 0.5 and one of its templates shares 0.6 of its word runs. The
-    most probable paragraph, then the first, names the row. Null and empty texts have
-    none; input columns of those names are replaced; repeated rows are scanned each.
+    Each line of the whole text is a paragraph, and so is what a template covers
+    of lines that follow one another without a blank one. A family other than
+    unknown is kept if one of its templates shares 0.6 of its word runs, the
+    paragraph has the family's own name and version, and the probability is at
+    least 0.5. The most probable paragraph, then the first, names the row. Null
+    and empty texts have none; input columns of those names are replaced;
+    repeated rows are scanned each.
     The fit reads at most 500 paragraphs, chosen by a hash of their words.
     """
     spark = C.session(docs)
     lines = docs.select(F.explode(F.split(C.quoted(text_col), "\n")).alias("line")).where("line != ''")
     few = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.min("line").alias("line")).orderBy("h").limit(NEGATIVES)
     pattern = re.compile("|".join(re.escape(t.lower().rstrip(".")) for ts in TEMPLATES.values() for t in ts))
-    negatives = [r["line"] for r in few.collect() if not pattern.search(r["line"].lower())]
+    negatives = [r["line"] for r in few.collect() if not pattern.search(r["line"].lower()) and not compare(words_of(r["line"]))]
     shared = spark.sparkContext.broadcast(fit(negatives))
     kind = "array<struct<family:string,probability:double,overlap:double,start:int,end:int>>"
     run = C.per_text(lambda: shared.value.detect, kind)
