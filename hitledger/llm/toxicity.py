@@ -73,29 +73,32 @@ def scaled(z, slope: float, offset: float):
     return 1 / (1 + np.exp(-np.clip(slope * z + offset, -500, 500)))
 
 
-def families(texts: list[str], keys: int = 12, length: int = 5) -> np.ndarray:
-    """Number of each text's family: texts that share the least hash of their word runs under some key."""
-    number: dict[str, int] = {}
-    parent = np.arange(len(texts))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def families(texts: list[str], labels: np.ndarray, keys: int = 12, length: int = 5, agree: int = 9) -> np.ndarray:
+    """Number of each text's family: the first text of the same label that has ``agree`` of its least hashes of word runs.
 
+    Each text is held against the first of every family, so a chain of passages joins nothing.
+    """
+    number: dict[str, int] = {}
     seeds = np.random.default_rng(7).integers(1, 2**63, size=(keys, 2), dtype=np.uint64) | np.uint64(1)
-    first: dict[tuple[int, int], int] = {}
+    heads = {y: (np.zeros((len(texts), keys), dtype=np.uint64), []) for y in set(labels.tolist())}
+    family = np.arange(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         ids = np.array([number.setdefault(w, len(number) + 1) for w in WORD.findall(text.lower())], dtype=np.uint64)
         runs = ids[: max(1, len(ids) - length + 1)].copy()
         for k in range(1, min(length, len(ids))):
             runs = (runs ^ (runs >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(runs)]
-        for k, (a, b) in enumerate(seeds if len(runs) else ()):
-            mixed = runs * a
-            other = first.setdefault((k, int(((mixed ^ (mixed >> np.uint64(31))) * b).min())), i)
-            parent[root(i)] = root(other)
-    return np.array([root(i) for i in range(len(texts))], dtype=np.int64)
+        if not len(runs):
+            continue
+        mixed = runs * seeds[:, :1]
+        least = ((mixed ^ (mixed >> np.uint64(31))) * seeds[:, 1:]).min(axis=1)
+        signs, first = heads[int(labels[i])]
+        same = np.flatnonzero((signs[: len(first)] == least).sum(axis=1) >= agree)
+        if len(same):
+            family[i] = first[same[0]]
+        else:
+            signs[len(first)] = least
+            first.append(i)
+    return family
 
 
 def evidence(texts: list[str], labels: np.ndarray) -> dict[str, float]:
@@ -148,7 +151,7 @@ def fit_bags(texts: list[str], labels: np.ndarray, steps: int = STEPS, decay: fl
     if not len(labels) or labels.min() == labels.max():
         return Model({}, FLOOR, 1.0, 0.0)
     # one document of each family: copies of a wrong label prove nothing
-    _, once = np.unique(families(texts), return_index=True)
+    _, once = np.unique(families(texts, labels), return_index=True)
     texts, labels = [texts[i] for i in once], labels[once]
     told = evidence(texts, labels)
     names = list(told)

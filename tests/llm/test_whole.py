@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from hitledger.llm import decontaminate, licenses
+from hitledger.llm import decontaminate, licenses, toxicity
 
 RNG = random.Random(11)
 VOCABULARY = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(4, 7))) for _ in range(400)]
@@ -83,3 +83,17 @@ def test_wrapped_notices(spark):
     assert [got[i]["license"] for i in range(len(rows))] == want
     place = got[0]["license_paragraphs"][0]
     assert rows[0][1][place["start"] : place["end"]].startswith("Permission is hereby") and rows[0][1][place["start"] : place["end"]].endswith("without restriction")
+
+
+def test_toxicity_families_are_copies():
+    """Rows that share a passage stay; copies, and copies with a word changed, are one; labels are never joined."""
+    def say(n):
+        return " ".join(RNG.choice(VOCABULARY) for _ in range(n))
+
+    passage = say(60)
+    texts = [f"{say(60)} {passage}" for _ in range(40)]
+    long = say(200)
+    texts += [long, long, long.replace(" ", "  "), long + " changed", long]
+    labels = np.array([i % 2 for i in range(40)] + [0, 0, 0, 0, 1])
+    got = toxicity.families(texts, labels)
+    assert got.tolist() == [*range(40), 40, 40, 40, 40, 44]
