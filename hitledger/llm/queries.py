@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as C
-from . import decontaminate, exact_dedup, licenses, near_dedup, packing, periodic, pii, secret_scan, sharding, spans, token_counts, toxicity
+from . import centroids, decontaminate, exact_dedup, licenses, near_dedup, packing, periodic, pii, secret_scan, sharding, spans, text_quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,3 +138,41 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def moved_sql(n: int) -> str:
+    """Vectors assigned to the centroids c<n-1>, and the centroids c<n> they give."""
+    near = f"SELECT r, min(struct_pack(d := list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p, m)]), c := c)) AS b FROM v CROSS JOIN c{n - 1} GROUP BY r"
+    sums = f"SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT b.c AS c, unnest(p) AS x, unnest(range(64)) AS i FROM a{n} JOIN v USING (r)) GROUP BY c, i"
+    mean = f"SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM ({sums}) GROUP BY c"
+    return f"a{n} AS MATERIALIZED ({near}),\nc{n} AS MATERIALIZED (SELECT o.c, coalesce(t.m, o.m) AS m FROM c{n - 1} o LEFT JOIN ({mean}) t USING (c))"
+
+
+CLUSTER_SQL = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS p
+  FROM embeddings WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), p) - 1 AS c, p AS m FROM v ORDER BY 1 LIMIT 16),
+{", ".join(moved_sql(n) for n in (1, 2, 3, 4))},
+z AS (SELECT vec_id, b.c AS c, b.d AS d FROM a4 JOIN v USING (r))
+SELECT vec_id, CAST(z.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM z JOIN c3 USING (c)
+"""
+
+
+@query("op12_centroid_clusters", CLUSTER_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+@query("op11_quality_classifier")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = text_quality.score(docs, text_quality.fit(docs, C.table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("quality").alias("score"),
+        F.col("is_good").cast("int").alias("predicted"),
+    )
