@@ -195,15 +195,18 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_TRAIN) -> Model:
     """A model from at most ``max_docs`` labelled rows that are not held out.
 
-    The fit runs in one task on that bounded sample. Without labels of both
-    kinds every score is 0.
+    The fit runs in one task on that bounded sample: one row of each labelled
+    id, that of the least text where the id repeats. An id labelled both ways
+    counts as toxic; null ids and null labels are left out. Without labels of
+    both kinds, as on an empty table, every score is 0.
     """
     C.session(docs)
     known = labels.where(C.quoted(label_col).isNotNull() & C.quoted(id_col).isNotNull() & ~held_out(C.quoted(id_col)))
     known = known.groupBy(C.quoted(id_col).alias("_id")).agg(F.max(C.quoted(label_col)).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
     sample = docs.select(C.quoted(id_col).alias("_id"), F.coalesce(C.quoted(text_col), F.lit("")).alias("_text"))
-    sample = sample.join(F.broadcast(known), "_id").select("_id", "_text", "_y", F.lit(0).alias("_all"))
+    # of an id in many rows the least text counts, so the sample has no more rows than ids
+    sample = sample.join(F.broadcast(known), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_id", "_text", "_y", F.lit(0).alias("_all"))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_id", "_text"])
@@ -221,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.7, sentence_limit: float = 0.3) -> DataFrame:
     """Every row with toxicity (0 to 1), is_toxic, and toxic_sentences: places and odds of offending sentences.
 
-    Whole texts are scored; null and empty texts have no sentence and the least
-    score. Only sentences of documents at or over ``limit`` are reported. Input
+    Whole texts of any length are scored; null and empty texts have no sentence
+    and the least score; an empty table gives an empty one. Only sentences of documents at or over ``limit`` are reported. Input
     columns of those names are replaced; repeated rows are scored each.
     """
     spark = C.session(docs)
