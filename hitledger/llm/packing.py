@@ -41,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that are one token wherever they stand; a text that holds one goes to the tokenizer whole
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # bytes print as themselves where they can, the rest as the letters from 256 on, in order
         shown = [n for n in range(256) if 33 <= n <= 126 or 161 <= n <= 172 or 174 <= n]
         byte = {chr(n): n for n in shown} | {chr(256 + k): n for k, n in enumerate(n for n in range(256) if n not in set(shown))}
@@ -63,6 +64,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         known, cuts = self.ids, self.cuts(text)
         out = [known.get(w) for w in cuts]
         if None in out:
