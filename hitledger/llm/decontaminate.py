@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from . import common as C
 
 WORD = re.compile(r"\w+")
@@ -63,18 +64,21 @@ def held(question: list[str], answer: list[str], passage: list[str]) -> bool:
 
 
 class Index:
-    """Inverted index of items of similar length; an item's scores are shares of its score against itself."""
+    """Inverted index of items of similar length; an item's scores are shares of its score against itself.
 
-    def __init__(self, texts: list[str], number: dict[str, int]):
+    ``frequency`` (items that have a word), ``count`` and ``mean`` (words of an
+    item) are those of the whole benchmark, so an item's scores do not depend on
+    which other items share its index.
+    """
+
+    def __init__(self, texts: list[str], number: dict[str, int], frequency: dict[str, int], count: int, mean: float):
         items = [words_of(t) for t in texts]
         self.span = max(map(len, items))
-        frequency = Counter(w for ws in items for w in set(ws))
-        mean = sum(map(len, items)) / len(items)
         postings: dict[str, list[tuple[int, float]]] = {}
         for i, ws in enumerate(items):
             gain = {}
             for w, n in Counter(ws).items():
-                rare = math.log(1 + (len(items) - frequency[w] + 0.5) / (frequency[w] + 0.5))
+                rare = math.log(1 + (count - frequency[w] + 0.5) / (frequency[w] + 0.5))
                 gain[w] = rare * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / mean))
             own = sum(gain.values())
             for w, g in gain.items():
@@ -169,9 +173,9 @@ class Index:
 class Matcher:
     """All indexes over one vocabulary, so a text is read once."""
 
-    def __init__(self, parts: list[tuple[list, list[str]]]):
+    def __init__(self, parts: list[tuple[list, list[str], dict[str, int]]], count: int, mean: float):
         self.number: dict[str, int] = {}
-        self.parts = [(ids, Index(texts, self.number)) for ids, texts in parts]
+        self.parts = [(ids, Index(texts, self.number, frequency, count, mean)) for ids, texts, frequency in parts]
         # each index numbers its own terms; the last place stands for words it does not have
         self.own = []
         for _, index in self.parts:
@@ -191,16 +195,28 @@ class Matcher:
         return sorted(found)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark in bounded parts of items of similar length, each as ids and texts."""
-    size = F.length(C.quoted(text_col))
-    items = benchmark.where(F.regexp_like(C.quoted(text_col), F.lit(r"\w"))).select(C.quoted(id_col).alias("id"), C.quoted(text_col).alias("text"), F.ceil(F.log2(size + 1.0)).alias("_class"))
+def counted(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, float]:
+    """Items that have words, each with the number of items that have each of its words; number of items and their mean length."""
+    words = C.per_text(lambda: words_of, "array<string>")(C.quoted(text_col))
+    items = benchmark.select(C.quoted(id_col).alias("id"), C.quoted(text_col).alias("text"), words.alias("words")).where(F.size("words") > 0)
+    # a number that is written down with the row, so it stays the same
+    items = materialize(items.withColumn("n", F.monotonically_increasing_id()), "items")
+    total = items.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    pairs = items.select("n", F.explode(F.array_distinct("words")).alias("word"))
+    frequency = pairs.groupBy("word").agg(F.count("*").alias("items"))
+    own = pairs.join(frequency, "word").groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("word", "items"))).alias("frequency"))
+    size = F.ceil(F.log2(F.length("text") + 1.0)).alias("_class")
+    return materialize(items.join(own, "n").select("id", "text", "frequency", size), "counted"), total["n"], total["mean"] or 0.0
+
+
+def blocks(items: DataFrame):
+    """The benchmark in bounded parts of items of similar length, each as ids, texts and frequencies of their words."""
     for r in items.groupBy("_class").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("_class").collect():
         parts = max(-(-r["n"] // ITEMS), -(-r["bytes"] // BYTES))
         for k in range(parts):
             own = items.where((F.col("_class") == r["_class"]) & (F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)).orderBy("id", "text").collect()
             if own:
-                yield [x["id"] for x in own], [x["text"] for x in own]
+                yield [x["id"] for x in own], [x["text"] for x in own], {w: n for x in own for w, n in x["frequency"].items()}
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: float = 0.5, overlap: float = 0.6) -> DataFrame:
@@ -216,33 +232,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     without words, null and empty texts match nothing; an item that occurs
     twice is reported twice; an input column named ``leaks`` is replaced.
 
-    Items of similar length are indexed together. What is broadcast at a time is
-    bounded: after 4,096 items or 8 MB of text the next part of the benchmark
-    is another pass over the texts.
+    Document frequencies and the mean length are counted over the whole
+    benchmark. Items of similar length are indexed together. What is broadcast
+    and loaded at a time is bounded: after 4,096 items or 8 MB of text, the rows
+    found so far are written and the next part of the benchmark is another pass
+    over them. Whole texts of any length are read, in passages; an empty table
+    or an empty benchmark gives rows without leaks.
     """
     spark = C.session(docs)
     kind = FOUND.replace("item:int", f"item:{dict(benchmark.dtypes)[item_id]}")
-    leaks, parts, size = [], [], 0
+    items, count, mean = counted(benchmark, item_id, item_text)
+    found = C.rows(docs, _text=C.quoted(text_col), _leaks=F.array().cast(kind))
 
-    def matched(parts):
+    def matched(parts) -> DataFrame:
         shared = spark.sparkContext.broadcast(parts)
 
         def start():
-            matcher = Matcher(shared.value)
+            matcher = Matcher(shared.value, count, mean)
             return lambda text: matcher.leaks(text, limit, overlap)
 
-        return C.per_text(start, kind)(C.quoted(text_col))
+        return found.select("_row", "_text", F.concat("_leaks", C.per_text(start, kind)("_text")).alias("_leaks"))
 
-    for ids, texts in blocks(benchmark, item_id, item_text):
-        parts.append((ids, texts))
-        size += sum(map(len, texts))
-        if size >= BYTES or sum(len(p[0]) for p in parts) >= ITEMS:
-            leaks.append(matched(parts))
+    parts, size = [], 0
+    for part in blocks(items):
+        if parts and (size + sum(map(len, part[1])) > BYTES or sum(len(p[0]) for p in parts) + len(part[0]) > ITEMS):
+            found = materialize(matched(parts), "leaks")
             parts, size = [], 0
-    if parts or not leaks:
-        leaks.append(matched(parts))
-    found = C.rows(docs, **{f"_leaks{k}": c for k, c in enumerate(leaks)})
-    return C.unpack(found, leaks=F.concat(*[F.col(f"_leaks{k}") for k in range(len(leaks))]))
+        parts.append(part)
+        size += sum(map(len, part[1]))
+    return C.unpack(matched(parts) if parts else found, leaks=F.col("_leaks"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

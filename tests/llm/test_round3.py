@@ -12,7 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from hitledger.llm import secret_scan, sharding, toxicity
+from hitledger.llm import decontaminate, secret_scan, sharding, toxicity
 from hitledger.llm.queries import QUERIES
 
 
@@ -167,3 +167,31 @@ def test_repeated_labelled_ids_count_once(spark):
     more = docs.unionByName(docs.where("doc_id < 4").withColumn("text", F.concat("text", F.lit(" zz"))).crossJoin(spark.range(300)).select("doc_id", "text"))
     one, two = toxicity.fit(docs, labels), toxicity.fit(more, labels)
     assert one.weights and one == two
+
+
+def test_scores_do_not_depend_on_parts_and_classes(spark, monkeypatch):
+    """One part, parts of three items, and items alone in their length class: the same leaks with the same scores."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(5))
+    common = [word() for _ in range(40)]
+    items = [" ".join(r.choice(common) if r.random() < 0.5 else word() for _ in range(n)) + ". " + word() + " " + word() for n in (5, 6, 7, 9, 12, 20, 21, 22, 60, 61, 150)]
+    rows = [(k, f"before {t} after" if k % 2 else " ".join(w for j, w in enumerate(t.split(" ")) if j % 9)) for k, t in enumerate(items)]
+    docs = spark.createDataFrame([*rows, (50, None), (51, "")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def leaks():
+        return sorted((x["doc_id"], y["item"], round(y["score"], 12), y["question"], y["answer"]) for x in decontaminate.decontaminate(docs, bench).collect() for y in x["leaks"])
+
+    whole = leaks()
+    assert {(k, k) for k in range(1, 11, 2)} <= {x[:2] for x in whole}
+    for most in (1, 3):
+        monkeypatch.setattr(decontaminate, "ITEMS", most)
+        assert leaks() == whole
+    # BM25 of every item with every text, written out
+    split = [decontaminate.words_of(t) for t in items]
+    n, mean = len(items), sum(map(len, split)) / len(items)
+    df = Counter(w for ws in split for w in set(ws))
+    gain = lambda ws, w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+    for doc, item, score, _, _ in whole:
+        ws, have = split[item], set(decontaminate.words_of(rows[doc][1]))
+        assert abs(score - sum(gain(ws, w) for w in set(ws) & have) / sum(gain(ws, w) for w in set(ws))) < 1e-6
