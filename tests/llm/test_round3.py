@@ -9,10 +9,11 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hitledger.llm import decontaminate, secret_scan, sharding, toxicity
+from hitledger.llm import decontaminate, licenses, secret_scan, sharding, toxicity
 from hitledger.llm.queries import QUERIES
 
 
@@ -195,3 +196,80 @@ def test_scores_do_not_depend_on_parts_and_classes(spark, monkeypatch):
     for doc, item, score, _, _ in whole:
         ws, have = split[item], set(decontaminate.words_of(rows[doc][1]))
         assert abs(score - sum(gain(ws, w) for w in set(ws) & have) / sum(gain(ws, w) for w in set(ws))) < 1e-6
+
+
+STATEMENTS = {
+    "This code is MIT licensed.": "mit",
+    "SPDX-License-Identifier: MIT": "mit",
+    "Licensed under the Apache-2.0 license": "apache-2.0",
+    "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0",
+    "Dual licensed under GPLv2": "gpl-2.0",
+    "This package ships under LGPL version 2.1": "lgpl-2.1",
+    "The work may be reused under CC BY-SA 4.0": "cc-by-sa-4.0",
+    "This program is distributed under the GNU Affero General Public License v3": "agpl-3.0",
+    "released under the terms of the BSD 3-Clause license": "bsd-3-clause",
+}
+NONE = ("Die Leute sind mit dem Zug da", "students at MIT", "license plates are issued by the state", "We drove the apache helicopter 2 times", "GPL licensed", "the public opinion on version 3", "under the table")
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    lines = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.explode(F.split("text", "\n"))).limit(4000).collect()]
+    lines = [t for t in lines if t and not any(o.search(" ".join(licenses.words_of(t))) for o in licenses.OWN.values())]
+    return licenses.fit(lines[:1000]), lines[1000:]
+
+
+def test_statements_that_are_no_template(licence_model):
+    model, _ = licence_model
+    assert {t: (model.detect(t) or [("none",)])[0][0] for t in STATEMENTS} == STATEMENTS
+    assert {t: model.detect(t) for t in NONE} == {t: [] for t in NONE}
+
+
+def test_without_the_classifier_results_change(licence_model, monkeypatch):
+    """A classifier that holds everything for unknown finds nothing, templates or not; one of no weights neither."""
+    model, _ = licence_model
+    text = "Released under the MIT License.\n\nSPDX-License-Identifier: MIT"
+    assert [f[0] for f in model.detect(text)] == ["mit", "mit"]
+    weights = model.weights.copy()
+    weights[-1, -1] += 100
+    assert licenses.Model(model.families, model.number, weights, model.scale).detect(text) == []
+    # and one that takes a family for another finds neither, as name and version do not confirm it
+    order = np.roll(np.arange(len(model.families) - 1), 1).tolist() + [len(model.families) - 1]
+    assert licenses.Model(model.families, model.number, model.weights[:, order], model.scale).detect(text) == []
+
+
+def test_unknown_is_calibrated(licence_model):
+    """On fresh statements and lines the mean probability of unknown is near its share, by tenths of it."""
+    model, lines = licence_model
+    fresh = licenses.examples(lines[:1500], seed=77)
+    p, y = [], []
+    for words, family in fresh:
+        ids = sorted(model.ids(words))
+        z = model.scale * (model.weights[ids].sum(axis=0) + model.weights[-1])
+        e = np.exp(z - z.max())
+        p.append(float((e / e.sum())[-1]))
+        y.append(family == licenses.UNKNOWN)
+    p, y = np.array(p), np.array(y)
+    error = sum(abs(p[m].mean() - y[m].mean()) * m.sum() for k in range(10) for m in [(p >= k / 10) & (p < (k + 1) / 10 + (k == 9))] if m.any()) / len(p)
+    print(len(p), y.mean(), error)
+    assert error < 0.05 and ((p > 0.5) == y).mean() > 0.95
+
+
+def test_the_bound_leaves_nothing_out(licence_model):
+    """Where the sum of leads rules a paragraph out, the probabilities do too."""
+    model, lines = licence_model
+    for words, _ in licenses.examples(lines[:500], seed=3):
+        if model.probabilities(words) is None:
+            ids = sorted(model.ids(words))
+            z = model.weights[ids].sum(axis=0) + model.weights[-1]
+            assert z.argmax() == len(model.families) - 1
+
+
+def test_of_stretches_that_overlap_one_counts(licence_model):
+    """Two wrapped notices one after the other are two; one notice gives one stretch, however many templates share it."""
+    model, _ = licence_model
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    got = model.detect(gpl)
+    assert [f[0] for f in got] == ["gpl-3.0"]
+    two = model.detect(gpl + gpl.replace("General", "Lesser General"))
+    assert [f[0] for f in two] == ["gpl-3.0", "lgpl-3.0"] and two[0][4] <= two[1][3]
