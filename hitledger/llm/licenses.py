@@ -114,6 +114,7 @@ OWN = {
     "all-rights-reserved": r"all rights reserved",
 }
 OWN = {family: re.compile(own) for family, own in OWN.items()}
+BODY = re.compile("permission is hereby granted|permission to use|redistribution and use|waived all copyright|unencumbered software")
 # families that differ by a version or a condition: the classifier tells the kind, the words which of them
 KINDS = [
     ("gpl-3.0", "gpl-2.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0"), ("cc-by-nc-4.0", "cc-by-sa-4.0", "cc-by-4.0"), ("bsd-3-clause", "bsd-2-clause"),
@@ -197,7 +198,8 @@ class Model:
             return None
         near = compare(words)
         family = max(own, key=lambda f: (near.get(f, 0.0), p[self.families.index(f)]))
-        if len(words) > STATEMENT and family not in near:
+        # without a template it must be a short statement that has the name itself, not words of the licence's body
+        if family not in near and (len(words) > STATEMENT or not OWN[family].search(BODY.sub(" ", text))):
             return None
         return family, min(1.0, total), near.get(family, 0.0)
 
