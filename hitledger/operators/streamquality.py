@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import union_keys_left_join
+from .quantiles import exact_quantiles
 from .split import lag_in_slices, micros, time_slice
 
 MINUTE = ("profile_id", "metric_minute", "service_domain")
@@ -175,12 +176,21 @@ TUNING = {
 
 
 def auto_threshold_tuner(minutes: DataFrame, keys=("profile_id",)) -> DataFrame:
-    """Warn and fail thresholds from the positive minute values of each measure."""
-    aggs = []
-    for m, t in TUNING.items():
-        v = F.when(F.col(m) > 0, F.col(m).cast("double"))
-        aggs.append(F.percentile(v, F.array(F.lit(t["warn"]), F.lit(t["fail"]))).alias(f"_{m}"))
-    wide = minutes.groupBy(*keys).agg(*aggs)
+    """Warn and fail thresholds from the positive minute values of each measure.
+
+    The measures are laid under each other, so one sort ranks the values of all of them.
+    """
+    keys = list(keys)
+    values = F.array(*[F.struct(F.lit(m).alias("_m"), F.col(m).cast("double").alias("_value")) for m in TUNING])
+    long = minutes.select(*keys, F.inline(values)).where("_value > 0")
+    name_of = lambda q: f"_q{round(100 * q)}"
+    shares = sorted({t[k] for t in TUNING.values() for k in ("warn", "fail")})
+    ranked = exact_quantiles(long, [*keys, "_m"], "_value", {name_of(q): q for q in shares}, "linear")
+    picked = [F.max(F.when(F.col("_m") == m, F.array(name_of(t["warn"]), name_of(t["fail"])))).alias(f"_{m}") for m, t in TUNING.items()]
+    # a key without any positive value has the fallbacks; null keys stay apart, as in the rows
+    named = minutes.select(*keys).distinct()
+    found = ranked.groupBy(*keys).agg(*picked)
+    wide = named.join(found.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *[f"_{m}" for m in TUNING]), [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)], "left")
     out = []
     for m, t in TUNING.items():
         q, name = F.col(f"_{m}"), m.replace("_rate", "").replace("_ratio", "").replace("_gap_score", "").replace("avg_event_", "").replace("_ms", "")
