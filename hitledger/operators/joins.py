@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .split import number_in_slices, time_slice
+from ..session import materialize
+from .split import BUCKET, in_slices, number_in_slices
 
 ANY = "*"
 
@@ -15,39 +16,37 @@ def key_text(*cols) -> Column:
     return F.concat_ws("\u0001", *parts)
 
 
-def nearest_in_time(points: DataFrame, candidates: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def nearest_in_time(points: DataFrame, candidates: DataFrame, block: int | None = None) -> DataFrame:
     """For each distinct (k, t) of ``points`` the nearest candidate of the same ``k``.
 
     ``candidates`` has k, t and ``row``, a struct whose first field is the id. The
-    smaller gap wins, then the smaller id. Both sides are first reduced to
-    distinct (k, t), then walked in time slices; the last and first candidate of
-    each slice is carried to its neighbours. No pair is built, and no key ends
-    up in one task.
+    smaller gap wins, then the smaller id. Both sides are reduced to distinct
+    (k, t), laid over each other and walked once in each direction. A key of more
+    than ``block`` rows is walked in slices of about that many, and the last and
+    first candidate of a slice is carried to the others. No pair is built, and
+    no key ends up in one task.
     """
     cand = candidates.groupBy("k", "t").agg(F.min("row").alias("row"))
-    cand = cand.select("k", "t", F.struct("t", "row").alias("c"), time_slice(F.col("t"), slice_seconds).alias("b"))
-    want = points.select("k", "t").distinct().withColumn("b", time_slice(F.col("t"), slice_seconds))
-
-    edges = cand.groupBy("k", "b").agg(F.min_by("c", "t").alias("head"), F.max_by("c", "t").alias("tail"))
-    spots = want.select("k", "b").distinct()
-    row = Window.partitionBy("k").orderBy("b")
-    carry = (
-        edges.join(spots, ["k", "b"], "full_outer")
-        .withColumn("before", F.last("tail", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("after", F.first("head", ignorenulls=True).over(row.rowsBetween(1, Window.unboundedFollowing)))
-        .select("k", "b", "before", "after")
-    )
-
+    cand = cand.select("k", "t", F.struct("t", "row").alias("c"), F.lit(0).alias("asks"))
     none = F.lit(None).cast(cand.schema["c"].dataType)
-    both = cand.select("k", "b", "t", "c", F.lit(0).alias("asks")).unionByName(
-        want.select("k", "b", "t", none.alias("c"), F.lit(1).alias("asks"))
+    both = cand.unionByName(points.select("k", "t").distinct().select("k", "t", none.alias("c"), F.lit(1).alias("asks")))
+    both = in_slices(both, ["k"], "t", block)
+
+    held = F.when(F.col("c").isNotNull(), F.col("t"))
+    edges = both.where(F.col(BUCKET).isNotNull()).groupBy("k", BUCKET).agg(F.min_by("c", held).alias("head"), F.max_by("c", held).alias("tail"))
+    row = Window.partitionBy("k").orderBy(BUCKET)
+    back = Window.partitionBy("k").orderBy(F.desc(BUCKET))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    carry = edges.select(
+        "k", BUCKET, F.last("tail", ignorenulls=True).over(earlier(row)).alias("before"), F.last("head", ignorenulls=True).over(earlier(back)).alias("after")
     )
-    near = Window.partitionBy("k", "b").orderBy("t", "asks")
+    # a frame that ends at its row is walked in one pass, so the other direction is walked backwards
+    near, far = (Window.partitionBy("k", BUCKET).orderBy(t, "asks").rowsBetween(Window.unboundedPreceding, 0) for t in (F.asc("t"), F.desc("t")))
     walked = (
-        both.withColumn("lo", F.last("c", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("hi", F.first("c", ignorenulls=True).over(near.rowsBetween(0, Window.unboundedFollowing)))
+        both.withColumn("lo", F.last("c", ignorenulls=True).over(near))
+        .withColumn("hi", F.last("c", ignorenulls=True).over(far))
         .where("asks = 1")
-        .join(carry, ["k", "b"], "left")
+        .join(F.broadcast(carry), ["k", BUCKET], "left")
     )
     lo, hi = F.coalesce("lo", "before"), F.coalesce("hi", "after")
 
@@ -58,17 +57,21 @@ def nearest_in_time(points: DataFrame, candidates: DataFrame, slice_seconds: int
     return walked.select("k", "t", best.alias("best"))
 
 
-def match_nearest(left: DataFrame, right: DataFrame, left_key, right_keys, left_time: str, right_time: str, row: Column, slice_seconds: int = 3600) -> DataFrame:
+def match_nearest(left: DataFrame, right: DataFrame, left_key, right_keys, left_time: str, right_time: str, row: Column, block: int | None = None) -> DataFrame:
     """Attach to each left row the nearest right row as ``best`` (gap, row, t), or null.
 
     ``left_key`` is the key of a left row; ``right_keys`` lists the keys a right
-    row answers to. Rows without time match the smallest id of their key.
+    row answers to, null for one it does not. Rows without time match the
+    smallest id of their key. The right side is read once: what it offers is
+    reduced to one row per key and time and written.
     """
     anchors = left.withColumn("k", left_key).withColumn("t", F.col(left_time))
-    offered = right.select(F.explode(F.array(*right_keys)).alias("k"), F.col(right_time).alias("t"), row.alias("row"))
-    near = nearest_in_time(anchors.where("t IS NOT NULL"), offered.where("t IS NOT NULL"), slice_seconds)
+    keys = F.explode(F.array_compact(F.array(*right_keys)))
+    offered = right.select(keys.alias("k"), F.col(right_time).alias("t"), row.alias("row")).groupBy("k", "t").agg(F.min("row").alias("row"))
+    offered = materialize(offered, "offered")
+    near = nearest_in_time(anchors.where("t IS NOT NULL"), offered.where("t IS NOT NULL"), block)
     # keys whose candidates all lack a time: settled on the reduced points, not on the anchors
-    untimed = offered.where("t IS NULL").groupBy("k").agg(F.min("row").alias("lowest"))
+    untimed = offered.where("t IS NULL").select("k", F.col("row").alias("lowest"))
     blank = F.struct(F.lit(None).cast("bigint").alias("gap"), F.col("lowest").alias("row"), F.lit(None).cast("bigint").alias("t"))
     near = near.join(untimed, "k", "left").select("k", "t", F.coalesce("best", F.when(F.col("lowest").isNotNull(), blank)).alias("best"))
     timed = anchors.where("t IS NOT NULL").join(near, ["k", "t"], "left")
@@ -80,7 +83,7 @@ def match_nearest(left: DataFrame, right: DataFrame, left_key, right_keys, left_
     return timed.unionByName(rest).drop("k", "t")
 
 
-def positional_pair(a: DataFrame, b: DataFrame, keys, a_order, b_order, a_slice: Column, b_slice: Column) -> DataFrame:
+def positional_pair(a: DataFrame, b: DataFrame, keys, a_order, b_order, a_slice: Column | None = None, b_slice: Column | None = None) -> DataFrame:
     """The i-th row of ``a`` with the i-th row of ``b`` within ``keys``."""
     left = number_in_slices(a, keys, a_order, a_slice, "pair_no")
     right = number_in_slices(b, keys, b_order, b_slice, "pair_no")

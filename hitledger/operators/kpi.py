@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numbers as N, text as X
-from .split import micros, time_slice
+from .split import BUCKET, in_slices, micros
 
 DAY = ("profile_id", "dt")
 SESSION_GAP = 1800
-SLICE = 600
 
 # Group and layer of each measure.
 GROUPS = {
@@ -52,38 +51,38 @@ def sessionize(views: DataFrame, identity: str = "identity", ts: str = "ts", eve
 
     ``keys`` with the day restart sessions at midnight; without it they go on.
     Returns keys, identity, event id, _us, session_seq and session_start_us.
-    Each time slice of an identity is walked by itself; only whether its first
-    row opens a session, and which session was open, comes from the slices
-    before it. Both branches read one shuffle.
+    An identity of very many views is walked in slices; whether a slice's first
+    row opens a session, and which session was open, comes from those before it.
     """
     keys = [*keys, identity]
     rows = views.select(*keys, event_id, micros(ts).alias("_us"))
-    rows = rows.withColumn("_slice", time_slice(F.col("_us"), SLICE))
-    near = Window.partitionBy(*keys, "_slice").orderBy("_us", event_id)
+    rows = in_slices(rows, keys, "_us")
+    near = Window.partitionBy(*keys, BUCKET).orderBy("_us", event_id)
     so_far = near.rowsBetween(Window.unboundedPreceding, 0)
     limit = gap * 1_000_000
-    # 1 where a later row of the slice opens a session; the first row is settled below
+    # 1 where a later row opens a session; the first row of a slice is settled below
     opens = (F.col("_us") - F.lag("_us").over(near) > limit).cast("bigint")
     walked = rows.withColumn("_opens", F.coalesce(opens, F.lit(0)))
-    walked = walked.withColumn("_opened", F.sum("_opens").over(so_far)).withColumn(
+    walked = walked.withColumn("_opened", F.sum("_opens").over(so_far)).withColumn("_begin", F.min("_us").over(so_far)).withColumn(
         "_start", F.max(F.when(F.col("_opens") == 1, F.col("_us"))).over(so_far)
     )
-    slices = walked.groupBy(*keys, "_slice").agg(
+    slices = walked.where(F.col(BUCKET).isNotNull()).groupBy(*keys, BUCKET).agg(
         F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.sum("_opens").alias("_n"), F.max("_start").alias("_inner")
     )
-    along = Window.partitionBy(*keys).orderBy("_slice")
+    along = Window.partitionBy(*keys).orderBy(BUCKET)
     until = along.rowsBetween(Window.unboundedPreceding, 0)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     before = F.lag("_last").over(along)
     slices = slices.withColumn("_head", (before.isNull() | (F.col("_first") - before > limit)).cast("bigint"))
     slices = slices.withColumn("_tail", F.coalesce("_inner", F.when(F.col("_head") == 1, F.col("_first"))))
     carry = slices.select(
-        *keys, "_slice",
+        *keys, BUCKET,
         (F.sum(F.col("_n") + F.col("_head")).over(until) - F.col("_n")).alias("_base"),
         F.when(F.col("_head") == 1, F.col("_first")).otherwise(F.last("_tail", ignorenulls=True).over(earlier)).alias("_open"),
     )
-    return walked.join(carry, [*keys, "_slice"]).select(
-        *keys, event_id, "_us", (F.col("_base") + F.col("_opened")).alias("session_seq"), F.coalesce("_start", "_open").alias("session_start_us")
+    # an identity that stays whole opens its first session with its first row
+    return walked.join(F.broadcast(carry), [*keys, BUCKET], "left").select(
+        *keys, event_id, "_us", (F.coalesce("_base", F.lit(1)) + F.col("_opened")).alias("session_seq"), F.coalesce("_start", "_open", "_begin").alias("session_start_us")
     )
 
 

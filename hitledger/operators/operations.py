@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import numbers as N
 from .quantiles import exact_quantiles
-from .split import lag_in_slices, micros, number_in_slices, time_slice
+from .split import lag_in_slices, micros, number_in_slices
 
 RUN = ("profile_id", "dt", "run_id")
 NO_DATA_SECONDS = 5
@@ -15,7 +15,7 @@ NO_DATA_SECONDS = 5
 def replay_sequence(events: DataFrame, event_id: str, ts: str = "ts", keys=RUN) -> DataFrame:
     """Number the events of each run by time and id."""
     d = events.withColumn("_us", micros(ts))
-    return number_in_slices(d, keys, ["_us", event_id], time_slice(F.col("_us"), 600), "replay_sequence").drop("_us")
+    return number_in_slices(d, keys, ["_us", event_id], None, "replay_sequence").drop("_us")
 
 
 def canonical_baseline(canonical: DataFrame, keys=RUN) -> DataFrame:
@@ -101,7 +101,7 @@ def perf_day_batch(batch_rows: DataFrame) -> DataFrame:
 
 def output_gaps(outputs: DataFrame, keys, us: str, order) -> DataFrame:
     """Longest gap between outputs and the downtime beyond the allowed seconds."""
-    d = lag_in_slices(outputs, keys, [us, *order], time_slice(F.col(us), 600), us, "_prev_us")
+    d = lag_in_slices(outputs, keys, [us, *order], None, us, "_prev_us")
     gap = F.coalesce(F.floor((F.col(us) - F.col("_prev_us")) / 1_000_000), F.lit(0))
     return d.groupBy(*keys).agg(
         F.max(gap).alias("max_gap_sec"),

@@ -45,10 +45,10 @@ def match_behavior_transaction(behavior: DataFrame, transactions: DataFrame, sco
     )
     t = with_duplicate_flag(transactions, [*scope, "journey_id", "order_id", "payment_id", "transaction_event"])
     order = F.coalesce(F.concat(F.lit("="), _filled(anchors, "order_id")), F.lit(ANY))
-    offered = F.coalesce(F.concat(F.lit("="), _filled(t, "order_id")), F.lit("?"))
+    offered = F.concat(F.lit("="), _filled(t, "order_id"))
     base = [*scope, "journey_id"]
     best = match_nearest(
-        anchors, t, key_text(*base, order), [key_text(*base, F.lit(ANY)), key_text(*base, offered)], "event_us", "event_us",
+        anchors, t, key_text(*base, order), [key_text(*base, F.lit(ANY)), F.when(offered.isNotNull(), key_text(*base, offered))], "event_us", "event_us",
         F.struct(F.col("tx_id").alias("id"), F.col("transaction_event"), F.col("duplicate_flag")),
     )
     got = F.col("best").isNotNull()
@@ -82,10 +82,10 @@ def match_transaction_state(transactions: DataFrame, states: DataFrame, scope=("
     t = transactions.withColumn("expected_state", want)
     s = with_duplicate_flag(states, [*scope, "journey_id", "order_id", "payment_id", "delivery_id", "state_event"])
     base = [*scope, "journey_id"]
-    state = F.coalesce(F.concat(F.lit("="), F.col("state_event")), F.lit("?"))
+    state = F.concat(F.lit("="), F.col("state_event"))
     best = match_nearest(
         t, s, key_text(*base, F.coalesce(F.concat(F.lit("="), F.col("expected_state")), F.lit(ANY))),
-        [key_text(*base, F.lit(ANY)), key_text(*base, state)], "event_us", "event_us",
+        [key_text(*base, F.lit(ANY)), F.when(state.isNotNull(), key_text(*base, state))], "event_us", "event_us",
         F.struct(F.col("state_id").alias("id"), F.col("state_event"), F.col("duplicate_flag")),
     )
     got = F.col("best").isNotNull()

@@ -1,9 +1,11 @@
 """Window functions over groups too large for one task.
 
-A plain window puts a whole group into one task. Here a group is cut into
-buckets of its own order (time slices), each bucket is windowed by itself, and
-one small row per bucket carries the state from bucket to bucket. A group that
-holds a third of the table is spread over as many tasks as it has buckets.
+A plain window puts a whole group into one task. Here a group of more than a
+block of rows is cut into slices of about a block each along its own order, each
+slice is windowed by itself, and one small row per slice carries the state from
+slice to slice. Where to cut comes from the data: the sizes of the groups, and
+approximate percentiles of the few large ones. Results do not depend on the
+cuts. Groups of a block or less stay whole and carry nothing.
 
 Keys must not be null (callers coalesce them).
 """
@@ -12,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# rows of a slice, and slices of a group at most
+BLOCK, MOST = 1_000_000, 1000
 BUCKET = "_slice"
 
 
@@ -29,38 +33,72 @@ def _order_key(order) -> Column:
     return F.struct(*[F.col(o) for o in order])
 
 
-def lag_in_slices(df: DataFrame, keys, order, slice_of: Column, value: str, out: str) -> DataFrame:
-    """``lag(value)`` over ``keys`` by ``order``; ``slice_of`` must not fall along the order."""
+def hot_cuts(df: DataFrame, keys, by: str, block: int | None = None) -> DataFrame:
+    """For each group of more than ``block`` rows the values of ``by`` that cut it into slices of about a block.
+
+    There are at most rows / block such groups, and about as many cuts in all.
+    """
+    keys, block = list(keys), block or BLOCK
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    shares = [k / MOST for k in range(1, MOST)]
+    cuts = df.select(*keys, F.col(by).alias("_by")).join(F.broadcast(sizes), keys).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.percentile_approx("_by", shares, 10 * MOST).alias("_all")
+    )
+    step = F.greatest(F.lit(1), F.floor(F.lit(MOST) / F.ceil(F.col("_n") / F.lit(block))))
+    return cuts.select(*keys, F.array_distinct(F.filter("_all", lambda _, i: (i + 1) % step == 0)).alias("_cuts"))
+
+
+def in_slices(df: DataFrame, keys, by: str, block: int | None = None) -> DataFrame:
+    """Rows with the number of their slice; null for those of groups that stay whole."""
     keys = list(keys)
-    d = df.withColumn(BUCKET, slice_of)
-    last = d.groupBy(*keys, BUCKET).agg(F.max_by(F.struct(F.col(value).alias("v")), _order_key(order)).alias("_last"))
+    d = df.join(F.broadcast(hot_cuts(df, keys, by, block)), keys, "left")
+    place = F.size(F.filter("_cuts", lambda c: c < F.col(by))).cast("bigint")
+    return d.withColumn(BUCKET, F.when(F.col("_cuts").isNotNull(), place)).drop("_cuts")
+
+
+def _sliced(df: DataFrame, keys, order, slice_of: Column | None) -> DataFrame:
+    return in_slices(df, keys, order[0]) if slice_of is None else df.withColumn(BUCKET, slice_of)
+
+
+def _carried(d: DataFrame, keys, carry: DataFrame, slice_of: Column | None) -> DataFrame:
+    """Join what a slice takes over; cuts from the data bound the number of slices, so these are sent to the rows."""
+    return d.join(F.broadcast(carry) if slice_of is None else carry, [*keys, BUCKET], "left")
+
+
+def lag_in_slices(df: DataFrame, keys, order, slice_of: Column | None, value: str, out: str) -> DataFrame:
+    """``lag(value)`` over ``keys`` by ``order``, whose first column is a number.
+
+    ``slice_of`` gives slices of the caller's own, which must not fall along the
+    order; None cuts where the data ask for it.
+    """
+    keys = list(keys)
+    d = _sliced(df, keys, order, slice_of)
+    last = d.where(F.col(BUCKET).isNotNull()).groupBy(*keys, BUCKET).agg(F.max_by(F.struct(F.col(value).alias("v")), _order_key(order)).alias("_last"))
     carry = last.select(
         *keys, BUCKET, F.lag("_last").over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("_carry")
     )
     near = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    d = d.withColumn("_near", F.lag(F.struct(F.col(value).alias("v"))).over(near)).join(carry, [*keys, BUCKET], "left")
+    d = _carried(d.withColumn("_near", F.lag(F.struct(F.col(value).alias("v"))).over(near)), keys, carry, slice_of)
     return d.withColumn(out, F.coalesce("_near", "_carry")["v"]).drop("_near", "_carry", BUCKET)
 
 
-def sum_in_slices(df: DataFrame, keys, order, slice_of: Column, value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` over ``keys`` by ``order``."""
+def _running(df: DataFrame, keys, order, slice_of: Column | None, total: Column, step: Column, out: str) -> DataFrame:
+    """A running total: ``total`` of the slices before plus ``step`` over the rows so far."""
     keys = list(keys)
-    d = df.withColumn(BUCKET, slice_of)
-    totals = d.groupBy(*keys, BUCKET).agg(F.sum(value).alias("_total"))
+    d = _sliced(df, keys, order, slice_of)
+    totals = d.where(F.col(BUCKET).isNotNull()).groupBy(*keys, BUCKET).agg(total.alias("_total"))
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, BUCKET, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry"))
     near = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_near", F.sum(value).over(near)).join(carry, [*keys, BUCKET], "left")
-    return d.withColumn(out, F.col("_near") + F.col("_carry")).drop("_near", "_carry", BUCKET)
+    d = _carried(d.withColumn("_near", step.over(near)), keys, carry, slice_of)
+    return d.withColumn(out, F.col("_near") + F.coalesce(F.col("_carry"), F.lit(0))).drop("_near", "_carry", BUCKET)
 
 
-def number_in_slices(df: DataFrame, keys, order, slice_of: Column, out: str) -> DataFrame:
-    """``row_number`` over ``keys`` by ``order``."""
-    keys = list(keys)
-    d = df.withColumn(BUCKET, slice_of)
-    counts = d.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = counts.select(*keys, BUCKET, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
-    near = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    d = d.withColumn("_near", F.row_number().over(near)).join(carry, [*keys, BUCKET], "left")
-    return d.withColumn(out, F.col("_near") + F.col("_carry")).drop("_near", "_carry", BUCKET)
+def sum_in_slices(df: DataFrame, keys, order, slice_of: Column | None, value: str, out: str) -> DataFrame:
+    """Running sum of ``value`` over ``keys`` by ``order``; slices as in ``lag_in_slices``."""
+    return _running(df, keys, order, slice_of, F.sum(value), F.sum(value), out)
+
+
+def number_in_slices(df: DataFrame, keys, order, slice_of: Column | None, out: str) -> DataFrame:
+    """``row_number`` over ``keys`` by ``order``; slices as in ``lag_in_slices``."""
+    return _running(df, keys, order, slice_of, F.count("*"), F.row_number(), out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import union_keys_left_join
 from .quantiles import exact_quantiles
-from .split import lag_in_slices, micros, time_slice
+from .split import lag_in_slices, micros
 
 MINUTE = ("profile_id", "metric_minute", "service_domain")
 
@@ -88,7 +88,7 @@ def ordering_violations(stream: DataFrame) -> DataFrame:
     ).fillna(0, subset=["stream_partition"])
     keys = ["profile_id", "service_domain", "stream_partition"]
     order = ["_us", "stream_offset", "curr_seq", "raw_event_id"]
-    out = lag_in_slices(df, keys, order, time_slice(F.col("_us"), 600), "curr_seq", "prev_seq")
+    out = lag_in_slices(df, keys, order, None, "curr_seq", "prev_seq")
     return out.withColumn("violation", F.coalesce((F.col("curr_seq") <= F.col("prev_seq")).cast("int"), F.lit(0)))
 
 

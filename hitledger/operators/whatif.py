@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from .split import micros, number_in_slices, time_slice
+from .split import micros, number_in_slices
 
 c = F.col
 CONVERSION_WORDS = ("conversion", "purchase", "purchase_success", "payment_success", "order_complete")
@@ -99,7 +99,7 @@ def skew_time(df: DataFrame, seconds: int, rate: float, row_id: str, seed: int =
 
 def reorder_blocks(df: DataFrame, n: int, row_id: str, keys=("profile_id", "dt"), ts: str = "ts") -> DataFrame:
     """Reverse the order of every block of ``n`` rows: arrival_no is the new position."""
-    d = number_in_slices(df.withColumn("_us", micros(ts)), keys, ["_us", row_id], time_slice(c("_us"), 600), "_no")
+    d = number_in_slices(df.withColumn("_us", micros(ts)), keys, ["_us", row_id], None, "_no")
     block = F.floor((c("_no") - 1) / n)
     size = d.groupBy(*keys).agg(F.count("*").alias("_total"))
     d = d.join(size, list(keys))

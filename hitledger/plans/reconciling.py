@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J, reconcile as R
-from ..operators.split import time_slice
 from ..session import materialize
 from .fixtures import RELATIONS
 from .registry import query
@@ -71,8 +70,7 @@ def untracked_transactions(i):
 def positional_pair(i):
     b = i.behavior_events.select("profile_id", "behavior_id", "event_us")
     t = i.transaction_events.select("profile_id", "tx_id", F.col("event_us").alias("tx_us"))
-    return J.positional_pair(b, t, ["profile_id"], ["event_us", "behavior_id"], ["tx_us", "tx_id"],
-                             time_slice(F.col("event_us"), 3600), time_slice(F.col("tx_us"), 3600))
+    return J.positional_pair(b, t, ["profile_id"], ["event_us", "behavior_id"], ["tx_us", "tx_id"])
 
 
 def status_counts(rel: str, prefix: str, statuses) -> str:

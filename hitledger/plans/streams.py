@@ -65,7 +65,7 @@ def stream_duplicates(i):
 @query("stream_ordering", "R03", "profile_id service_domain stream_partition:i raw_event_id:i sequence_no:i prev_seq:i violation:i",
        "SELECT profile_id, service_domain, stream_partition, raw_event_id, curr_seq AS sequence_no, prev_seq, violation FROM order_rows")
 def stream_ordering(i):
-    return in_steps(i, sent(i), "ordering", lambda stream, path: Q.run_bounded(Q.stream_ordering(stream), "ordering", path=path))
+    return in_steps(i, sent(i), "ordering", lambda stream, path: Q.stream_ordering(stream, path=path))
 
 
 @query("stream_completeness", "R04", "raw_event_id:i service_domain arrived:i",
@@ -102,8 +102,7 @@ def stream_sink_idempotent(i):
 
 
 def silences(i, keys):
-    one = [*keys, "since"]
-    return in_steps(i, sent(i), "silence", lambda stream, path: Q.run_updated(Q.no_data_alert(stream, keys), one, "silence", path))
+    return in_steps(i, sent(i), "silence", lambda stream, path: Q.no_data_alert(stream, keys, path=path))
 
 
 GAPS = """SELECT profile_id, service_domain, since, ts, gap_sec, gap_sec - 5 AS downtime_sec, false AS is_open FROM (SELECT *, floor((epoch_us(ts) - epoch_us(since)) / 1000000) AS gap_sec FROM

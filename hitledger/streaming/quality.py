@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import streamquality as S
-from ..operators.split import lag_in_slices, micros, sum_in_slices, time_slice
+from ..operators.split import lag_in_slices, micros, sum_in_slices
 from ..session import scratch_dir
 
 c = F.col
@@ -155,17 +155,16 @@ def run_sessions(stream: DataFrame, identity: str = "identity", gap_seconds: int
 
     Sessions of ``stream_sessions`` are given when they are over. Here the
     minutes of activity are kept up to date instead; as a minute is shorter than
-    the gap, no session ends within one, so sessions follow from the minutes,
-    which are walked in slices of a day.
+    the gap, no session ends within one, so sessions follow from the minutes.
     """
     if gap_seconds < 60:
         raise ValueError("a gap under a minute may part a minute")
     minutes = run_updated(stream_activity(stream, identity, watermark), ["profile_id", identity, "minute"], label, path)
     d = minutes.withColumn("_first", micros("first_ts")).withColumn("_last", micros("last_ts")).withColumn("_id", F.coalesce(F.concat(F.lit("="), c(identity).cast("string")), F.lit("?")))
-    keys, day = ["profile_id", "_id"], time_slice(c("_first"), 86400)
-    d = lag_in_slices(d, keys, ["_first"], day, "_last", "_before")
+    keys = ["profile_id", "_id"]
+    d = lag_in_slices(d, keys, ["_first"], None, "_last", "_before")
     d = d.withColumn("_starts", (c("_before").isNull() | (c("_first") - c("_before") > gap_seconds * 1_000_000)).cast("int"))
-    d = sum_in_slices(d, keys, ["_first"], day, "_starts", "_session")
+    d = sum_in_slices(d, keys, ["_first"], None, "_starts", "_session")
     out = d.groupBy(*keys, "_session").agg(F.first(identity).alias(identity), F.min("first_ts").alias("session_start"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events"))
     return out.select("profile_id", identity, "session_start", "last_ts", "events")
 
@@ -242,7 +241,7 @@ def walk_state(stream: DataFrame, keys, columns, watermark: str, walk, out: str,
     return picked.groupBy(*keys).applyInPandasWithState(run, schema, held, mode, GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_ordering(stream: DataFrame, watermark: str = "10 minutes", forget: str = "7 days") -> DataFrame:
+def ordering(stream: DataFrame, watermark: str = "10 minutes", forget: str = "7 days") -> DataFrame:
     """Messages whose sequence does not exceed the last one of their domain and partition.
 
     A micro-batch's messages of one partition are put in order of time, offset,
@@ -275,7 +274,7 @@ def stream_ordering(stream: DataFrame, watermark: str = "10 minutes", forget: st
     return found.select(*keys, "raw_event_id", F.timestamp_micros("_us").alias("ts"), "sequence_no", "prev_seq", "violation")
 
 
-def no_data_alert(stream: DataFrame, keys=("profile_id",), limit_seconds: int = 5, watermark: str = "10 minutes", forget: str = "365 days") -> DataFrame:
+def silences(stream: DataFrame, keys=("profile_id",), limit_seconds: int = 5, watermark: str = "10 minutes", forget: str = "365 days") -> DataFrame:
     """Silences longer than the limit, and the downtime beyond it; also one that still lasts.
 
     A silence is over when the next event comes (``ts``). While it lasts, a timer
@@ -326,6 +325,16 @@ def no_data_alert(stream: DataFrame, keys=("profile_id",), limit_seconds: int =
     return found.select(*keys, F.timestamp_micros("since_us").alias("since"), until.alias("ts"), "gap_sec", "downtime_sec", "is_open")
 
 
+def stream_ordering(stream: DataFrame, label: str = "ordering", path: str | None = None, **options) -> DataFrame:
+    """Drain ``ordering``: every message with the one before it."""
+    return run_bounded(ordering(stream, **options), label, path=path)
+
+
+def no_data_alert(stream: DataFrame, keys=("profile_id",), limit_seconds: int = 5, label: str = "silence", path: str | None = None, **options) -> DataFrame:
+    """Drain ``silences``: the newest row of every silence, over or not."""
+    return run_updated(silences(stream, keys, limit_seconds, **options), [*keys, "since"], label, path)
+
+
 def idempotent_step(partition: str) -> Callable[[DataFrame, int, str], None]:
     """Write a batch under its own id; done twice, it replaces what it wrote before."""
 

@@ -102,7 +102,7 @@ def test_absences_that_are_not_settled(spark):
 
 
 def silences(s, keys):
-    got = Q.run_updated(Q.no_data_alert(s.stream, keys, 5, "1 minute"), [*keys, "since"], "x", s.out).collect()
+    got = Q.no_data_alert(s.stream, keys, 5, path=s.out, watermark="1 minute").collect()
     return sorted(((*[r[k] for k in keys], sec(r.since), sec(r.ts), r.gap_sec, r.downtime_sec) for r in got), key=lambda x: x[:2])
 
 
@@ -120,7 +120,7 @@ def test_a_silence_is_seen_while_it_lasts(spark):
 
 def test_order_is_carried_over_steps_and_forgotten(spark):
     s = Source(spark, "order")
-    drain = lambda: [(r.raw_event_id, r.prev_seq, r.violation) for r in Q.run_bounded(Q.stream_ordering(s.stream, "1 minute", "1 hour"), "x", path=s.out).orderBy("raw_event_id").collect()]
+    drain = lambda: [(r.raw_event_id, r.prev_seq, r.violation) for r in Q.stream_ordering(s.stream, path=s.out, watermark="1 minute", forget="1 hour").orderBy("raw_event_id").collect()]
     s.put((1, "a", 1, 5), (0, "a", 1, 3), (2, "a", 1, 4))
     assert drain() == [(0, 3, 0), (1, None, 0), (2, 5, 1)]
     s.put((3, "a", 1, 4), (4, "b", 1, 1))
