@@ -8,6 +8,8 @@ from ..session import materialize
 from .split import BUCKET, in_slices, number_in_slices
 
 ANY = "*"
+# a mapping of up to so many bytes is sent to the paths
+SENT_BYTES = 8 << 20
 
 
 def key_text(*cols) -> Column:
@@ -93,13 +95,21 @@ def positional_pair(a: DataFrame, b: DataFrame, keys, a_order, b_order, a_slice:
 def path_mapping(paths: DataFrame, mapping: DataFrame, path: str = "path", longest: bool = True) -> DataFrame:
     """Active patterns that are a prefix of each distinct path.
 
-    Every prefix of a path is looked up by equality, so the mapping may have any
-    size and nothing is compared pair by pair. ``longest`` keeps one pattern per
-    path; otherwise every matching pattern yields a row.
+    Only lengths that patterns have are cut off a path and looked up by
+    equality, so a path makes at most as many rows as it has such lengths, and
+    nothing is compared pair by pair. The lengths, no more than the longest
+    pattern has characters, are read first, with the size of the mapping: one of
+    up to 8 MB is sent to the paths, a larger one is met by a shuffle of the
+    prefixes. ``longest`` keeps one pattern per path; otherwise every matching
+    pattern yields a row.
     """
     active = mapping.where("is_active = 1").select(F.col("id").alias("mapping_id"), F.col("url_pattern").alias("prefix"))
     p = F.col(path)
-    cuts = F.transform(F.sequence(F.lit(0), F.length(p)), lambda n: F.substring(p, F.lit(1), n))
+    known = active.groupBy(F.length("prefix").alias("n")).agg(F.sum(F.octet_length("prefix") + 16).alias("bytes")).where("n IS NOT NULL").collect()
+    lengths = F.array(*[F.lit(n) for n in sorted(r["n"] for r in known)]).cast("array<int>")
+    if sum(r["bytes"] for r in known) <= SENT_BYTES:
+        active = F.broadcast(active)
+    cuts = F.transform(F.filter(lengths, lambda n: n <= F.length(p)), lambda n: F.substring(p, F.lit(1), n))
     found = paths.select(path).distinct().select(path, F.explode(cuts).alias("prefix")).join(active, "prefix")
     if not longest:
         return found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
@@ -133,6 +133,17 @@ def train_regressor(df: DataFrame, target: str, numbers, texts=(), trees: int =
     return Pipeline(stages=[*_stages(numbers, texts), forest]).fit(ready)
 
 
+def save_models(path: str, version: str, **models) -> None:
+    """Fitted pipelines under ``path/version``, each in a folder of its name; a version is written once and then only read."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/{version}/{name}")
+
+
+def load_model(path: str, version: str, name: str):
+    """A pipeline that ``save_models`` has written, fitted, with its indexes and label names."""
+    return PipelineModel.load(f"{path}/{version}/{name}")
+
+
 def regression_metrics(model, df: DataFrame, target: str, numbers, texts=()) -> dict:
     scored = model.transform(_filled(df, numbers, texts).withColumn("_target", num(target)))
     ev = RegressionEvaluator(labelCol="_target", predictionCol="prediction")
@@ -163,8 +174,6 @@ def predict(classifier, regressor, df: DataFrame, numbers, texts=(), rule_score:
 
 def _without_label(model):
     """The fitted pipeline without its label index, for rows that have no label."""
-    from pyspark.ml import PipelineModel
-
     return PipelineModel(model.stages[1:])
 
 

@@ -9,6 +9,8 @@ from .quantiles import exact_quantiles
 from .split import lag_in_slices, micros, number_in_slices
 
 RUN = ("profile_id", "dt", "run_id")
+# a run's facts are repeated so many times, each copy for one part of its rows
+SALTS = 64
 NO_DATA_SECONDS = 5
 
 
@@ -29,15 +31,19 @@ def canonical_baseline(canonical: DataFrame, keys=RUN) -> DataFrame:
 def replay_join(replay: DataFrame, canonical: DataFrame, keys=RUN) -> DataFrame:
     """Replayed rows with their event time, run bounds and baseline.
 
-    Bounds and baseline have one row per run; the event join is by id.
+    Bounds and baseline have one row per run; the event join is by id. The run
+    facts are joined by run and a part of the ids, so that the rows of one run,
+    which may be all there are, meet them in many tasks.
     """
     bounds = replay.groupBy(*keys).agg(
         F.min("output_us").alias("replay_start_us"), F.max("output_us").alias("replay_end_us"), F.count("*").alias("replay_event_count")
     )
     per_run = bounds.join(canonical_baseline(canonical, keys), list(keys))
     events = canonical.select(*keys, "canonical_event_id", "event_time")
-    # a run is a hot key: the small side is joined on it, and split where skewed
-    return replay.drop("event_time").join(events, [*keys, "canonical_event_id"]).join(per_run, list(keys))
+    salt = F.pmod(F.xxhash64("canonical_event_id"), F.lit(SALTS)).cast("int")
+    copies = per_run.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = replay.drop("event_time").join(events, [*keys, "canonical_event_id"]).withColumn("_salt", salt)
+    return joined.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 def replay_lag(joined: DataFrame, warmup_seconds: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import decisions as D, ml as M, textcheck as T
-from ..session import materialize
+from ..session import materialize, scratch_dir
 from . import decisions
 from .fixtures import RELATIONS
 from .registry import query
@@ -78,24 +78,53 @@ NUMBERS = ("completeness_score", "timeliness_score", "availability_score", "inte
 TEXTS = ("expected_risk_family",)
 
 
-def models(i, trees=20):
+# where the models of an application and its tables are, once a query has fitted them
+_fitted: dict[tuple[str, str], str] = {}
+
+
+def models(i, rows):
+    """Both models with the trees and depth that are the operators' defaults: fitted once, stored, and loaded by every query."""
+    key = (i.spark.sparkContext.applicationId, i.sf_dir)
+    if key not in _fitted:
+        where = scratch_dir(i.spark, "models")
+        train, _ = M.split_by_hash(rows, ["profile_id", "dt"])
+        train = materialize(train, "train")
+        M.save_models(where, "v1", classifier=M.train_classifier(train, "label_risk_family", NUMBERS, TEXTS), regressor=M.train_regressor(train, "overall_risk_score", NUMBERS, TEXTS))
+        _fitted[key] = where
+    return tuple(M.load_model(_fitted[key], "v1", name) for name in ("classifier", "regressor"))
+
+
+def predicted(i):
     rows = materialize(labelled(i), "labelled")
-    train, test = M.split_by_hash(rows, ["profile_id", "dt"])
-    cls = M.train_classifier(train, "label_risk_family", NUMBERS, TEXTS, trees=trees)
-    reg = M.train_regressor(train, "overall_risk_score", NUMBERS, TEXTS, trees=trees)
-    return rows, test, cls, reg
+    return M.predict(*models(i, rows), rows, NUMBERS, TEXTS)
 
 
 @query("predict_risk", "M04 M05 M06", f"{HEAD} predicted_label ml_risk_grade overall_risk_score:d")
 def predict_risk(i):
-    rows, _, cls, reg = models(i)
-    return M.predict(cls, reg, rows, NUMBERS, TEXTS)
+    return predicted(i)
+
+
+# what holds of predictions whatever the trees: every row once, labels that occur, grades of their bands, the gap to the rule score
+@query("prediction_contract", "M04 M05 M06", "label_risk_family rows:i keys:i risk:d unknown_labels:i wrong_grades:i wrong_gaps:i wrong_confidence:i",
+       "SELECT label_risk_family, count(*) AS rows, count(DISTINCT (profile_id, dt, scenario_name)) AS keys, sum(overall_score) AS risk, 0 AS unknown_labels, 0 AS wrong_grades, 0 AS wrong_gaps, 0 AS wrong_confidence FROM labelled_days GROUP BY ALL")
+def prediction_contract(i):
+    p = predicted(i)
+    known = materialize(labelled(i).select("label_risk_family").distinct(), "families").withColumnRenamed("label_risk_family", "predicted_label").withColumn("known", F.lit(1))
+    score = F.col("ml_risk_score")
+    band = F.when(score >= 0.75, "CRITICAL").when(score >= 0.45, "HIGH").when(score >= 0.2, "WARN").otherwise("STABLE")
+    right = (score >= 0) & (score <= 1) & (F.col("ml_risk_grade") == band)
+    gap = F.abs(score - F.col("overall_risk_score") - F.col("score_gap")) < 1e-9
+    sure = (F.col("prediction_confidence") > 0) & (F.col("prediction_confidence") <= 1 + 1e-9)
+    wrong = lambda ok: F.count_if(~F.coalesce(ok, F.lit(False)))
+    return p.join(known, "predicted_label", "left").groupBy("label_risk_family").agg(
+        F.count("*").alias("rows"), F.count_distinct(*M.SCOPE).alias("keys"), F.sum("overall_risk_score").alias("risk"), F.count_if(F.col("known").isNull()).alias("unknown_labels"),
+        wrong(right).alias("wrong_grades"), wrong(gap).alias("wrong_gaps"), wrong(sure).alias("wrong_confidence"))
 
 
 @query("classification_report", "M04 M10", "label support:i precision:d recall:d f1:d")
 def classification_report(i):
-    _, test, cls, reg = models(i)
-    return M.classification_report(M.predict(cls, reg, test, NUMBERS, TEXTS), "label_risk_family")
+    _, test = M.split_by_hash(predicted(i), ["profile_id", "dt"])
+    return M.classification_report(test, "label_risk_family")
 
 
 @query("confusion_matrix", "M10", "label predicted cnt:i",

@@ -103,6 +103,16 @@ def upsert(i):
     return R.upsert(i.source_hits.select("hit_id", "status"), i.collected_hits.select("hit_id", F.lit(1).alias("status")), ["hit_id"])
 
 
+@query("upsert_touched", "S11 J14", "hit_id:i status:i", "SELECT s.hit_id, CASE WHEN c.hit_id IS NULL THEN s.status ELSE 1 END AS status FROM source_hits s LEFT JOIN collected_hits c USING (hit_id)")
+def upsert_touched(i):
+    path, schema = scratch_dir(i.spark, "keyed"), "hit_id bigint, status int"
+    R.write_keyed(i.source_hits.select("hit_id", F.col("status").cast("int")), path, ["hit_id"])
+    delta = i.collected_hits.select("hit_id", F.lit(1).alias("status"))
+    for _ in range(2):  # the same delta again changes nothing
+        R.upsert_keyed(path, delta, ["hit_id"], "collected", schema)
+    return R.read_keyed(i.spark, path, schema)
+
+
 @query("conform", "S12", "hit_id:i uid gap_rate:d event_count:i risk_level detail_json", "SELECT hit_id, uid, 0 AS gap_rate, 0 AS event_count, 'unknown' AS risk_level, '{}' AS detail_json FROM source_hits")
 def conform(i):
     schema = T._parse_datatype_string("hit_id bigint, uid string, gap_rate double, event_count bigint, risk_level string, detail_json string")

@@ -142,6 +142,61 @@ def upsert(base: DataFrame, delta: DataFrame, keys, version: str | None = None)
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
+def _bucket(keys, buckets: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int, dict[int, int], set[str]]:
+    """Newest version of a keyed table, the version of each bucket's folder, and the deltas that are in it."""
+    rows = spark.read.schema("n int, bucket int, version int, delta string").parquet(f"{path}/versions/*")
+    deltas = {r["delta"] for r in rows.select("delta").distinct().collect()}
+    last = rows.groupBy("bucket").agg(F.max_by(F.struct("n", "version"), "n").alias("r")).select("bucket", "r.*").collect()
+    return max(r["n"] for r in last), {r["bucket"]: r["version"] for r in last if r["bucket"] >= 0}, deltas
+
+
+def _write_version(df: DataFrame, path: str, keys, buckets: int, n: int, delta: str) -> None:
+    """The buckets of ``df`` in a folder of their own, then the list that makes them count."""
+    spark = df.sparkSession
+    out = df.withColumn("bucket", _bucket(keys, buckets))
+    # four files a bucket, so that none is one task's work
+    out = out.repartition("bucket", F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(4)))
+    out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{n}")
+    # a line of bucket -1 stands for the version itself
+    made = [r[0] for r in out.select("bucket").distinct().collect()]
+    listed = spark.createDataFrame([(n, b, n, delta) for b in [-1, *sorted(made)]], "n int, bucket int, version int, delta string")
+    listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/{n}")
+
+
+def write_keyed(df: DataFrame, path: str, keys, buckets: int = 64) -> None:
+    """A table of one row per key, in buckets of the key's hash, that ``upsert_keyed`` can change."""
+    _write_version(df, path, keys, buckets, 0, "")
+
+
+def read_keyed(spark: SparkSession, path: str, schema, only=None) -> DataFrame:
+    """The newest folder of each bucket (of those in ``only``)."""
+    _, folders, _ = _versions(spark, path)
+    paths = [f"{path}/data/{v}/bucket={b}" for b, v in sorted(folders.items()) if only is None or b in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_keyed(path: str, delta: DataFrame, keys, delta_id: str, schema, version: str | None = None, buckets: int = 64) -> list[int]:
+    """Put ``delta`` into a keyed table and rewrite only the buckets it touches; gives their numbers.
+
+    A delta whose id the table has is not put in again. The rewritten buckets go
+    to a folder of the new version and count once the version is listed, so a
+    failed run leaves the table as it was and a repeated one replaces its own
+    files. Readers of the version before keep their files.
+    """
+    spark = delta.sparkSession
+    n, _, deltas = _versions(spark, path)
+    if delta_id in deltas:
+        return []
+    touched = sorted(r[0] for r in delta.select(_bucket(keys, buckets)).distinct().collect())
+    merged = upsert(read_keyed(spark, path, schema, set(touched)), delta, keys, version)
+    _write_version(merged.select(*[f.name for f in spark.createDataFrame([], schema).schema]), path, keys, buckets, n + 1, delta_id)
+    return touched
+
+
 def latest_row(df: DataFrame, keys, order) -> DataFrame:
     """The newest row per key, by the listed columns, all descending."""
     rest = [c for c in df.columns if c not in keys]
