@@ -110,6 +110,67 @@ def reconciliation_measurement(i):
     return R.reconciliation_measurement(i.behavior_events, i.transaction_events, i.state_events, materialize(bt(i), "bt"), materialize(ts(i), "ts"))
 
 
+# the same within profile and day, with as many profiles as the journeys give
+SCOPED = "SELECT * EXCLUDE (profile_id), concat('p', CAST(journey_id % 7 AS VARCHAR)) AS profile_id, CAST(make_timestamp(event_us) AS DATE) AS dt FROM {0}"
+_CHANGES = [("b.profile_id = t.profile_id", "b.profile_id = t.profile_id AND b.dt = t.dt"), ("t.profile_id = s.profile_id", "t.profile_id = s.profile_id AND t.dt = s.dt"), ("PARTITION BY profile_id, journey_id", "PARTITION BY profile_id, dt, journey_id"),
+            ("SELECT b.profile_id,", "SELECT b.profile_id, b.dt,"), ("SELECT t.profile_id,", "SELECT t.profile_id, t.dt,"), ("SELECT profile_id, journey_id", "SELECT profile_id, dt, journey_id")]
+
+
+def scoped_sql(name: str) -> str:
+    """A relation of the match with the day in its keys, on the scoped events."""
+    text = RELATIONS[name]
+    for old, new in _CHANGES:
+        text = text.replace(old, new)
+    for rel in ("behavior_events", "transaction_events", "state_events", "transactions_flagged", "states_flagged", "bt_matched", "tx_expected", "ts_matched"):
+        text = text.replace(rel, f"{rel}_by_day")
+    return text
+
+
+for _name in ("behavior_events", "transaction_events", "state_events"):
+    RELATIONS[f"{_name}_by_day"] = SCOPED.format(_name)
+for _name in ("transactions_flagged", "states_flagged", "bt_matched", "bt_mapping", "tx_expected", "ts_matched", "ts_mapping"):
+    RELATIONS[f"{_name}_by_day"] = scoped_sql(_name)
+
+
+def by_scope(rel: str, picks: str, where: str = "true") -> str:
+    return f"(SELECT profile_id, dt, {picks} FROM {rel}_by_day WHERE {where} GROUP BY profile_id, dt)"
+
+
+def counts_by_scope(rel: str, prefix: str, statuses) -> str:
+    return by_scope(rel, status_counts("x", prefix, statuses).removeprefix("SELECT ").split(" FROM x")[0])
+
+
+_ZERO = "behavior_event_count transaction_event_count state_event_count behavior_transaction_total_count behavior_transaction_matched_count behavior_only_count transaction_only_count transaction_state_total_count transaction_state_matched_count orphan_state_count transaction_without_state_count duplicate_order_count duplicate_payment_count coupon_behavior coupon_tx payments orders_made refunds refund_states behavior_transaction_dup transaction_state_dup".split()
+_KEPT = "avg_behavior_transaction_gap_ms p95_behavior_transaction_gap_ms avg_transaction_state_gap_ms p95_transaction_state_gap_ms".split()
+_DELAYS = "payment_processing_delay_ms delivery_state_delay_ms refund_delay_ms".split()
+RECON_BY_SCOPE = f"""SELECT *, CASE WHEN behavior_transaction_total_count > 0 THEN round(behavior_transaction_matched_count / behavior_transaction_total_count, 6) ELSE 0 END AS behavior_transaction_match_rate,
+  round(abs(behavior_transaction_matched_count - orders_made) / greatest(behavior_transaction_matched_count, orders_made, 1), 6) AS conversion_gap,
+  CASE WHEN transaction_state_total_count > 0 THEN round(transaction_state_matched_count / transaction_state_total_count, 6) ELSE 0 END AS transaction_state_match_rate,
+  round(abs(payments - orders_made) / greatest(payments, 1), 6) AS payment_order_gap, round(abs(refunds - refund_states) / greatest(refunds, 1), 6) AS refund_transition_gap,
+  round(abs(coupon_behavior - coupon_tx) / greatest(coupon_behavior, 1), 6) AS coupon_reconciliation_gap,
+  behavior_only_count + transaction_only_count + orphan_state_count + transaction_without_state_count + behavior_transaction_dup + transaction_state_dup AS propagation_distortion_count
+FROM (SELECT profile_id, dt, {", ".join(f"coalesce({n}, 0) AS {n}" for n in [*_ZERO, *_DELAYS])}, {", ".join(_KEPT)} FROM
+  {by_scope("behavior_events", "count(*) AS behavior_event_count, count(coupon_id) AS coupon_behavior")} b
+  FULL JOIN {by_scope("transaction_events", "count(*) AS transaction_event_count, count(*) FILTER (transaction_event = 'payment_approved') AS payments, count(*) FILTER (transaction_event = 'order_created') AS orders_made, count(*) FILTER (transaction_event = 'refund_completed') AS refunds, count(*) FILTER (transaction_event = 'coupon_applied') AS coupon_tx, CAST(trunc(avg(transaction_delay_ms) FILTER (transaction_event = 'payment_approved')) AS BIGINT) AS payment_processing_delay_ms")} t USING (profile_id, dt)
+  FULL JOIN {by_scope("state_events", "count(*) AS state_event_count, count(*) FILTER (state_event = 'refund_status_completed') AS refund_states, CAST(trunc(avg(state_transition_delay_ms) FILTER (state_event LIKE 'delivery%')) AS BIGINT) AS delivery_state_delay_ms, CAST(trunc(avg(state_transition_delay_ms) FILTER (state_event LIKE 'refund%')) AS BIGINT) AS refund_delay_ms")} s USING (profile_id, dt)
+  FULL JOIN {counts_by_scope('bt_mapping', 'behavior_transaction', [('matched', 'behavior_transaction_matched_count'), ('behavior_only', 'behavior_only_count'), ('transaction_only', 'transaction_only_count')])} bm USING (profile_id, dt)
+  FULL JOIN {counts_by_scope('ts_mapping', 'transaction_state', [('matched', 'transaction_state_matched_count'), ('orphan_state', 'orphan_state_count'), ('transaction_without_state', 'transaction_without_state_count')])} tm USING (profile_id, dt)
+  FULL JOIN (SELECT profile_id, dt, count(*) FILTER (c > 3) AS duplicate_order_count FROM (SELECT profile_id, dt, count(*) AS c FROM transaction_events_by_day GROUP BY profile_id, dt, order_id) o GROUP BY ALL) dord USING (profile_id, dt)
+  FULL JOIN (SELECT profile_id, dt, count(*) FILTER (c > 1) AS duplicate_payment_count FROM (SELECT profile_id, dt, count(*) AS c FROM transaction_events_by_day WHERE payment_id IS NOT NULL GROUP BY profile_id, dt, payment_id, transaction_event) p GROUP BY ALL) dpay USING (profile_id, dt)) z"""
+
+
+def by_day(df):
+    return df.withColumn("profile_id", F.concat(F.lit("p"), (F.col("journey_id") % 7).cast("string"))).withColumn("dt", F.to_date(F.timestamp_micros("event_us")))
+
+
+@query("reconciliation_by_scope", "A11 J01 J02", RECON_COLS.replace("profile_id ", "profile_id dt:date ", 1), RECON_BY_SCOPE)
+def reconciliation_by_scope(i):
+    scope = ["profile_id", "dt"]
+    b, t, s = (materialize(by_day(x), "scoped") for x in (i.behavior_events, i.transaction_events, i.state_events))
+    btm, tsm = materialize(R.match_behavior_transaction(b, t, scope), "bt"), materialize(R.match_transaction_state(t, s, scope), "ts")
+    return R.reconciliation_measurement(b, t, s, btm, tsm, scope)
+
+
 @query("mapping_coverage_join", "J05", "path mapping_id:i prefix n:i",
        """SELECT path, id AS mapping_id, url_pattern AS prefix, count(*) AS n FROM source_hits LEFT JOIN (SELECT * FROM event_mapping WHERE is_active = 1) m
   ON starts_with(path, url_pattern) GROUP BY ALL""")

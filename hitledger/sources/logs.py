@@ -26,6 +26,11 @@ def _fields(text: Column, pattern: str, n: int) -> Column:
     return F.split(F.regexp_replace(text, pattern, MARK.join(f"${i + 1}" for i in range(n))), MARK)
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """A column that is computed once a row: filters and projections above a generator are not merged into it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_access_log(lines: DataFrame, line: str = "line", keep=()) -> tuple[DataFrame, DataFrame]:
     """Typed hits of well-formed lines, and the lines that could not be read.
 
@@ -36,12 +41,13 @@ def parse_access_log(lines: DataFrame, line: str = "line", keep=()) -> tuple[Dat
     names = ("ip", "_ts", "method", "url_raw", "protocol", "status", "bytes", "_ref", "ua", "kv_raw")
     fields = _fields(text, LINE, len(names))
     good = (F.size(fields) == len(names)) & X.apache_ts(fields[1]).isNotNull()
-    d = filled.select(*keep, line, fields.alias("_f")).where((F.size("_f") == len(names)) & X.apache_ts(F.col("_f")[1]).isNotNull())
-    d = d.select(*keep, *[F.col("_f")[i].alias(n) for i, n in enumerate(names)])
-    d = d.withColumn("kv", X.parse_kv("kv_raw"))
+    d = _once(filled.select(*keep, line), fields, "_f").where(F.size("_f") == len(names))
+    d = _once(d, X.apache_ts(F.col("_f")[1]), "ts").where("ts IS NOT NULL")
+    d = d.select(*keep, "ts", *[F.col("_f")[i].alias(n) for i, n in enumerate(names)])
+    d = _once(d, X.parse_kv("kv_raw"), "kv")
     kv = lambda k: F.try_element_at("kv", F.lit(k))
     path, query = X.split_path_query("url_raw")
-    d = d.withColumn("ts", X.apache_ts("_ts")).withColumn("path", path).withColumn("query", query)
+    d = d.withColumn("path", path).withColumn("query", query)
     page = X.page_type("path", kv("page_type"))
     hits = d.select(
         *keep, F.to_date("ts").alias("dt"), "ts", "ip", "method", "protocol", "url_raw", "path", "query", F.col("status").cast("int").alias("status"),
@@ -65,9 +71,10 @@ def parse_access_log_range(lines: DataFrame, base_url: str, first: str, last: st
     """Looser variant: optional tail, URLs joined to a base, a date range, exact repeats dropped on request."""
     text = F.col(line)
     names = ("ip", "_ts", "method", "url_raw", "_status", "_bytes", "ref", "ua", "kv_raw")
-    d = lines.select(*keep, _fields(text, LOOSE_LINE, len(names)).alias("_f")).where(F.size("_f") == len(names))
-    d = d.select(*keep, *[F.col("_f")[i].alias(n) for i, n in enumerate(names)])
-    d = d.withColumn("ts", X.apache_ts("_ts")).withColumn("dt", F.to_date("ts")).where(F.col("dt").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    d = _once(lines.select(*keep, line), _fields(text, LOOSE_LINE, len(names)), "_f").where(F.size("_f") == len(names))
+    d = _once(d, X.apache_ts(F.col("_f")[1]), "ts")
+    d = d.select(*keep, "ts", *[F.col("_f")[i].alias(n) for i, n in enumerate(names)])
+    d = d.withColumn("dt", F.to_date("ts")).where(F.col("dt").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     url = X.resolve_url(base_url, "url_raw")
     d = d.select("*", *[c.alias(n) for n, c in url.items()])
     one = lambda *keys: F.coalesce(*[X.extract_kv("kv_raw", k, bare=True) for k in keys])
