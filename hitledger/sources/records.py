@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import text as X
+from ..operators.joins import key_text
 from ..operators.split import number_in_slices
 
 _S, _L, _M = "string", "bigint", "decimal(18,2)"
@@ -253,19 +254,18 @@ def progressive_count(df: DataFrame, scopes: DataFrame) -> DataFrame:
     """Rows of each asked scope, loosened step by step until some are found.
 
     ``scopes`` has profile_id, dt, source_gen_run_id, run_id and scenario_name
-    (its rows are one count each). The table is counted once by its own scope,
-    then those few counts are matched to the scopes of the day.
+    (its rows are one count each; null equals null but for profile and day).
+    The table is counted once by its own scope; both sides then give one key per
+    step, and the steps are looked up by equality.
     """
     parts = ("source_gen_run_id", "run_id", "scenario_name")
     counts = df.groupBy("profile_id", "dt", *parts).agg(F.count("*").alias("n"))
-    have = counts.select("profile_id", "dt", *[F.col(p).alias(f"_{p}") for p in parts], "n")
-    j = scopes.join(have, ["profile_id", "dt"], "left")
-    same = [F.coalesce(F.col(p).eqNullSafe(F.col(f"_{p}")), F.lit(False)) for p in parts]
-    aggs = []
-    for name, need in ATTEMPTS.items():
-        cond = reduce(lambda a, b: a & b, [s for s, n in zip(same, need) if n], F.col("n").isNotNull())
-        aggs.append(F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name))
-    out = j.groupBy(*scopes.columns).agg(*aggs)
-    found = F.coalesce(*[F.nullif(F.col(a), F.lit(0)) for a in ATTEMPTS], F.lit(0))
-    level = F.coalesce(*[F.when(F.col(a) > 0, F.lit(a)) for a in ATTEMPTS], F.lit("none"))
-    return out.select(*scopes.columns, found.alias("row_count"), level.alias("matched_scope"))
+    keys = F.array(*[F.struct(F.lit(k).alias("_step"), key_text(*[p for p, n in zip(parts, need) if n]).alias("_key")) for k, need in enumerate(ATTEMPTS.values())])
+    on = ["profile_id", "dt", "_step", "_key"]
+    have = counts.select("profile_id", "dt", "n", F.inline(keys)).groupBy(*on).agg(F.sum("n").alias("n"))
+    found = scopes.distinct().select("*", F.inline(keys)).join(have, on, "left")
+    best = F.min_by(F.struct("_step", "n"), F.when(F.col("n") > 0, F.col("_step")))
+    out = found.groupBy(*scopes.columns).agg(best.alias("_best"))
+    names = F.array(*[F.lit(a) for a in ATTEMPTS])
+    level = F.when(F.col("_best").isNotNull(), F.element_at(names, F.col("_best._step") + 1)).otherwise("none")
+    return out.select(*scopes.columns, F.coalesce("_best.n", F.lit(0)).alias("row_count"), level.alias("matched_scope"))
