@@ -18,17 +18,18 @@ def key_text(*cols) -> Column:
     return F.concat_ws("\u0001", *parts)
 
 
-def nearest_in_time(points: DataFrame, candidates: DataFrame, block: int | None = None) -> DataFrame:
+def nearest_in_time(points: DataFrame, candidates: DataFrame, block: int | None = None, reduced: bool = False) -> DataFrame:
     """For each distinct (k, t) of ``points`` the nearest candidate of the same ``k``.
 
     ``candidates`` has k, t and ``row``, a struct whose first field is the id. The
     smaller gap wins, then the smaller id. Both sides are reduced to distinct
-    (k, t), laid over each other and walked once in each direction. A key of more
+    (k, t) (``reduced`` says that the candidates are), laid over each other and
+    walked once in each direction. A key of more
     than ``block`` rows is walked in slices of about that many, and the last and
     first candidate of a slice is carried to the others. No pair is built, and
     no key ends up in one task.
     """
-    cand = candidates.groupBy("k", "t").agg(F.min("row").alias("row"))
+    cand = candidates if reduced else candidates.groupBy("k", "t").agg(F.min("row").alias("row"))
     cand = cand.select("k", "t", F.struct("t", "row").alias("c"), F.lit(0).alias("asks"))
     none = F.lit(None).cast(cand.schema["c"].dataType)
     both = cand.unionByName(points.select("k", "t").distinct().select("k", "t", none.alias("c"), F.lit(1).alias("asks")))
@@ -71,7 +72,7 @@ def match_nearest(left: DataFrame, right: DataFrame, left_key, right_keys, left_
     keys = F.explode(F.array_compact(F.array(*right_keys)))
     offered = right.select(keys.alias("k"), F.col(right_time).alias("t"), row.alias("row")).groupBy("k", "t").agg(F.min("row").alias("row"))
     offered = materialize(offered, "offered")
-    near = nearest_in_time(anchors.where("t IS NOT NULL"), offered.where("t IS NOT NULL"), block)
+    near = nearest_in_time(anchors.where("t IS NOT NULL"), offered.where("t IS NOT NULL"), block, reduced=True)
     # keys whose candidates all lack a time: settled on the reduced points, not on the anchors
     untimed = offered.where("t IS NULL").select("k", F.col("row").alias("lowest"))
     blank = F.struct(F.lit(None).cast("bigint").alias("gap"), F.col("lowest").alias("row"), F.lit(None).cast("bigint").alias("t"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numbers as N
+from ..session import materialize
 from .joins import ANY, key_text, match_nearest
 from .quantiles import exact_quantiles
 
@@ -61,6 +62,7 @@ def match_behavior_transaction(behavior: DataFrame, transactions: DataFrame, sco
         F.coalesce(F.col("best.row.duplicate_flag"), F.lit(0)).alias("duplicate_flag"),
         _gap_ms(F.col("event_us"), F.col("best.t")).alias("time_gap_ms"),
     )
+    per_anchor = materialize(per_anchor, "anchors")  # read twice below
     used = per_anchor.where("tx_id IS NOT NULL").select(F.col("tx_id").alias("_used")).distinct()
     rest = t.join(used, t["tx_id"] == F.col("_used"), "left_anti").select(
         *scope, "journey_id", "order_id", "tx_id", "transaction_event", F.lit("transaction_only").alias("mapping_status"),
@@ -98,6 +100,7 @@ def match_transaction_state(transactions: DataFrame, states: DataFrame, scope=("
         F.when(got, "observed").otherwise("missing").alias("state_transition_flag"),
         _gap_ms(F.col("event_us"), F.col("best.t")).alias("time_gap_ms"),
     )
+    per_tx = materialize(per_tx, "matched")  # read twice below
     used = per_tx.where("state_id IS NOT NULL").select(F.col("state_id").alias("_used")).distinct()
     rest = s.join(used, s["state_id"] == F.col("_used"), "left_anti").select(
         *scope, "journey_id", "order_id", "state_id", "state_event", F.lit("orphan_state").alias("mapping_status"),

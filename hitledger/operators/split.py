@@ -33,24 +33,35 @@ def _order_key(order) -> Column:
     return F.struct(*[F.col(o) for o in order])
 
 
+def large_groups(df: DataFrame, keys, block: int | None = None) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (block or BLOCK))
+
+
 def hot_cuts(df: DataFrame, keys, by: str, block: int | None = None) -> DataFrame:
     """For each group of more than ``block`` rows the values of ``by`` that cut it into slices of about a block.
 
     There are at most rows / block such groups, and about as many cuts in all.
     """
     keys, block = list(keys), block or BLOCK
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
-    shares = [k / MOST for k in range(1, MOST)]
+    sizes = large_groups(df, keys, block)
+    # as text: a literal for each share would cost a call each
+    all_cuts = f"percentile_approx(_by, array({', '.join(f'{k / MOST}D' for k in range(1, MOST))}), {10 * MOST})"
     cuts = df.select(*keys, F.col(by).alias("_by")).join(F.broadcast(sizes), keys).groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.percentile_approx("_by", shares, 10 * MOST).alias("_all")
+        F.first("_n").alias("_n"), F.expr(all_cuts).alias("_all")
     )
     step = F.greatest(F.lit(1), F.floor(F.lit(MOST) / F.ceil(F.col("_n") / F.lit(block))))
     return cuts.select(*keys, F.array_distinct(F.filter("_all", lambda _, i: (i + 1) % step == 0)).alias("_cuts"))
 
 
 def in_slices(df: DataFrame, keys, by: str, block: int | None = None) -> DataFrame:
-    """Rows with the number of their slice; null for those of groups that stay whole."""
+    """Rows with the number of their slice; null for those of groups that stay whole.
+
+    The groups are counted at once, in a first pass over the keys; where none is
+    large the plan that follows is that of a plain window.
+    """
     keys = list(keys)
+    if large_groups(df, keys, block).isEmpty():
+        return df.withColumn(BUCKET, F.lit(None).cast("bigint"))
     d = df.join(F.broadcast(hot_cuts(df, keys, by, block)), keys, "left")
     place = F.size(F.filter("_cuts", lambda c: c < F.col(by))).cast("bigint")
     return d.withColumn(BUCKET, F.when(F.col("_cuts").isNotNull(), place)).drop("_cuts")

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a skewed join is split even where that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a generated method over 8,000 bytes is not compiled by the JVM; wide projections are generated in parts instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
