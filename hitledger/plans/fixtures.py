@@ -159,7 +159,8 @@ WRITTEN = ("gap_features", "gap_profile", "gap_recent")
 def with_relations(body: str, final: str) -> str:
     """DuckDB text: the relations ``body`` reads, ``body`` as ``answer``, then ``final``."""
     parts = [f"{n} AS {'MATERIALIZED ' if n in WRITTEN else ''}({s.strip()})" for n, s in _closure(body).items()]
-    parts.append(f"answer AS ({body.strip()})")
+    # written whole, so that what a reader asks of it (a limit) does not change how it is made
+    parts.append(f"answer AS MATERIALIZED ({body.strip()})")
     return _render("WITH " + ",\n".join(parts) + "\n" + final, "duckdb")
 
 
