@@ -185,13 +185,45 @@ def _by_type(rows: DataFrame) -> DataFrame:
     return rows.withColumn("baseline_type", F.explode(kinds))
 
 
+def _sum(values: str, of=lambda x: x) -> Column:
+    """Sum in the order of the array, so that it does not depend on partitions."""
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
+
+
+def _share(q: float) -> Column:
+    """Linear percentile of the sorted values ``_s``."""
+    at = (F.size("_s") - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    lo, hi = F.get("_s", low), F.get("_s", F.least(low + 1, F.size("_s") - 1))
+    return lo + (at - low) * (hi - lo)
+
+
 def stat_profile(features: DataFrame, targets: DataFrame, days: int = 30, min_days: int = 3, include_target: bool = False) -> DataFrame:
-    """Rolling and same-weekday profile of every gap metric, with control limits."""
-    rows = _by_type(to_targets(features.where(F.col("scenario_name") == BASELINE), targets, days, include_target))
-    out = rows.groupBy("profile_id", "target_date", "baseline_type", *SERIES).agg(
-        F.count_distinct("dt").alias("sample_days"),
-        *_stats("metric_value", {"median_value": 0.50, "p75_value": 0.75, "p90_value": 0.90, "p95_value": 0.95, "p99_value": 0.99}),
-        F.min("metric_value").alias("min_value"), F.max("metric_value").alias("max_value"),
+    """Rolling and same-weekday profile of every gap metric, with control limits.
+
+    A series has one value a day, so its history is an array that the calendar
+    bounds. History rows are shuffled once; a target day takes its window, and
+    the days of its own weekday, out of the array, and sums run in order of the
+    days.
+    """
+    rows = features.where(F.col("scenario_name") == BASELINE)
+    history = rows.groupBy("profile_id", *SERIES).agg(F.array_sort(F.collect_list(F.struct("dt", F.col("metric_value").cast("double").alias("v")))).alias("_h"))
+    asked = targets.select("profile_id", "target_date").distinct().groupBy("profile_id").agg(F.collect_list("target_date").alias("_t"))
+    d = history.join(asked, "profile_id").select("profile_id", *SERIES, "_h", F.explode("_t").alias("target_date"))
+    last = F.col("target_date") if include_target else F.date_sub("target_date", 1)
+    window = F.filter("_h", lambda x: (x["dt"] >= F.date_sub("target_date", days)) & (x["dt"] <= last))
+    d = d.select("profile_id", "target_date", *SERIES, F.explode(F.array(window)).alias("_w")).where(F.size("_w") > 0)
+    weekday = F.filter("_w", lambda x: F.dayofweek(x["dt"]) == F.dayofweek("target_date"))
+    kinds = F.array(F.struct(F.lit("rolling_30d").alias("baseline_type"), F.col("_w").alias("_x")), F.struct(F.lit("same_weekday").alias("baseline_type"), weekday.alias("_x")))
+    d = d.select("profile_id", "target_date", *SERIES, F.inline(kinds)).where(F.size("_x") > 0)
+    d = d.withColumn("_v", F.array_compact(F.transform("_x", lambda x: x["v"]))).withColumn("_s", F.array_sort("_v")).withColumn("_n", F.nullif(F.size("_v"), F.lit(0)))
+    d = d.withColumn("mean_value", _sum("_v") / F.col("_n"))
+    deviation = F.sqrt(_sum("_v", lambda x: (x - F.col("mean_value")) * (x - F.col("mean_value"))) / F.col("_n"))
+    shares = {"median_value": 0.50, "p75_value": 0.75, "p90_value": 0.90, "p95_value": 0.95, "p99_value": 0.99}
+    out = d.select(
+        "profile_id", "target_date", "baseline_type", *SERIES, F.size(F.array_distinct(F.transform("_x", lambda x: x["dt"]))).alias("sample_days"),
+        "mean_value", F.coalesce(deviation, F.lit(0.0)).alias("sd_value"), *[F.when(F.col("_n").isNotNull(), _share(q)).alias(n) for n, q in shares.items()],
+        F.array_min("_v").alias("min_value"), F.array_max("_v").alias("max_value"),
     )
     m, sd = F.col("mean_value"), F.col("sd_value")
     score, status = _quality(F.col("sample_days"), min_days)
@@ -232,7 +264,7 @@ def baseline_compare(features: DataFrame, profile: DataFrame) -> DataFrame:
     cur, m, sd, up = (F.col(c) for c in ("metric_value", "mean_value", "sd_value", "upper_control_limit"))
     delta = cur - m
     z = F.when(F.coalesce(F.abs(sd) < 1e-12, F.lit(True)), F.when(F.abs(delta) < 1e-12, 0.0).otherwise(999.0)).otherwise(delta / F.when(F.abs(sd) >= 1e-12, sd))
-    # rounded, so that a value on a limit does not depend on summation order
+    # rounded, so that a value on a limit does not depend on the last digit of a ratio
     breach = F.coalesce((F.round(cur - up, 9) > 0).cast("int"), F.lit(0))
     band = F.when(cur.isNull(), "unknown")
     for p in (99, 95, 90, 75):

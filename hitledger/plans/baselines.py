@@ -148,9 +148,10 @@ def feature_snapshot(i):
 
 _P = ", ".join(f"quantile_cont(metric_value, {q}) AS {n}" for n, q in (("median_value", 0.5), ("p75_value", 0.75), ("p90_value", 0.9), ("p95_value", 0.95), ("p99_value", 0.99)))
 RELATIONS["gap_profile"] = f"""SELECT *, greatest(0, mean_value - 3 * sd_value) AS lower_control_limit, mean_value + 3 * sd_value AS upper_control_limit, least(1, sample_days / 3) AS quality_score, CASE WHEN sample_days >= 3 THEN 'usable' ELSE 'low_sample' END AS baseline_status FROM (
-  SELECT profile_id, target_date, baseline_type, dimension_type, dimension_key, metric_name, count(DISTINCT dt) AS sample_days, avg(metric_value) AS mean_value, stddev_pop(metric_value) AS sd_value, {_P}, min(metric_value) AS min_value, max(metric_value) AS max_value FROM (
+  SELECT * EXCLUDE (vs), sqrt(list_sum([(x - mean_value) * (x - mean_value) for x in vs]) / len(vs)) AS sd_value FROM (SELECT *, list_sum(vs) / len(vs) AS mean_value FROM (
+  SELECT profile_id, target_date, baseline_type, dimension_type, dimension_key, metric_name, count(DISTINCT dt) AS sample_days, list(metric_value ORDER BY dt, metric_value) AS vs, {_P}, min(metric_value) AS min_value, max(metric_value) AS max_value FROM (
   SELECT f.*, target_date, unnest(CASE WHEN dayofweek(dt) = dayofweek(target_date) THEN ['rolling_30d', 'same_weekday'] ELSE ['rolling_30d'] END) AS baseline_type FROM gap_features f JOIN target_days t ON f.profile_id = t.profile_id AND f.dt BETWEEN t.target_date - 30 AND t.target_date - 1
-  WHERE scenario_name = 'baseline') x GROUP BY ALL) y"""
+  WHERE scenario_name = 'baseline') x GROUP BY ALL) y) u) v"""
 PROFILE_COLS = "profile_id target_date:date baseline_type dimension_type dimension_key metric_name sample_days:i mean_value:d sd_value:d median_value:d p75_value:d p90_value:d p95_value:d p99_value:d min_value:d max_value:d lower_control_limit:d upper_control_limit:d quality_score:d baseline_status"
 
 
