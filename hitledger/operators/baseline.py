@@ -195,7 +195,7 @@ def _share(q: float) -> Column:
     at = (F.size("_s") - 1) * F.lit(q)
     low = F.floor(at).cast("int")
     lo, hi = F.get("_s", low), F.get("_s", F.least(low + 1, F.size("_s") - 1))
-    return lo + (at - low) * (hi - lo)
+    return lo * (low + 1 - at) + hi * (at - low)
 
 
 def stat_profile(features: DataFrame, targets: DataFrame, days: int = 30, min_days: int = 3, include_target: bool = False) -> DataFrame:
@@ -264,12 +264,11 @@ def baseline_compare(features: DataFrame, profile: DataFrame) -> DataFrame:
     cur, m, sd, up = (F.col(c) for c in ("metric_value", "mean_value", "sd_value", "upper_control_limit"))
     delta = cur - m
     z = F.when(F.coalesce(F.abs(sd) < 1e-12, F.lit(True)), F.when(F.abs(delta) < 1e-12, 0.0).otherwise(999.0)).otherwise(delta / F.when(F.abs(sd) >= 1e-12, sd))
-    # rounded, so that a value on a limit does not depend on the last digit of a ratio
-    breach = F.coalesce((F.round(cur - up, 9) > 0).cast("int"), F.lit(0))
+    breach = F.coalesce((cur > up).cast("int"), F.lit(0))
     band = F.when(cur.isNull(), "unknown")
     for p in (99, 95, 90, 75):
         band = band.when(cur >= F.col(f"p{p}_value"), f"p{p}_plus")
-    zz = F.round(F.coalesce(F.abs(z), F.lit(0.0)), 9)
+    zz = F.coalesce(F.abs(z), F.lit(0.0))
     severity = (
         F.when(cur.isNull() | (F.col("sample_days") <= 0), "unknown").when((breach == 1) & (zz >= 5), "critical")
         .when((breach == 1) | (zz >= 3), "warning").when(zz >= 2, "watch").otherwise("normal")

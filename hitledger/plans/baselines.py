@@ -185,10 +185,10 @@ def select_baseline(i):
 
 
 @query("baseline_compare", "B09", f"{FEATURE_COLS} selected_baseline_type baseline_mean:d baseline_delta:d z_score:d percentile_band control_limit_breach:i severity",
-       """SELECT *, CASE WHEN control_limit_breach = 1 AND round(abs(z_score), 9) >= 5 THEN 'critical' WHEN control_limit_breach = 1 OR round(abs(z_score), 9) >= 3 THEN 'warning' WHEN round(abs(z_score), 9) >= 2 THEN 'watch' ELSE 'normal' END AS severity FROM (
+       """SELECT *, CASE WHEN control_limit_breach = 1 AND abs(z_score) >= 5 THEN 'critical' WHEN control_limit_breach = 1 OR abs(z_score) >= 3 THEN 'warning' WHEN abs(z_score) >= 2 THEN 'watch' ELSE 'normal' END AS severity FROM (
   SELECT f.*, b.baseline_type AS selected_baseline_type, mean_value AS baseline_mean, metric_value - mean_value AS baseline_delta, CASE WHEN sd_value < 1e-12 THEN CASE WHEN abs(metric_value - mean_value) < 1e-12 THEN 0 ELSE 999 END ELSE (metric_value - mean_value) / sd_value END AS z_score,
   CASE WHEN metric_value >= p99_value THEN 'p99_plus' WHEN metric_value >= p95_value THEN 'p95_plus' WHEN metric_value >= p90_value THEN 'p90_plus' WHEN metric_value >= p75_value THEN 'p75_plus' ELSE 'normal_band' END AS percentile_band,
-  CASE WHEN round(metric_value - upper_control_limit, 9) > 0 THEN 1 ELSE 0 END AS control_limit_breach FROM gap_features f JOIN gap_selected b ON f.profile_id = b.profile_id AND f.dt = b.target_date AND f.dimension_type = b.dimension_type AND f.dimension_key = b.dimension_key AND f.metric_name = b.metric_name) x""")
+  CASE WHEN metric_value > upper_control_limit THEN 1 ELSE 0 END AS control_limit_breach FROM gap_features f JOIN gap_selected b ON f.profile_id = b.profile_id AND f.dt = b.target_date AND f.dimension_type = b.dimension_type AND f.dimension_key = b.dimension_key AND f.metric_name = b.metric_name) x""")
 def baseline_compare(i):
     f, p = profiled(i)
     return B.baseline_compare(f, p)
