@@ -4,6 +4,14 @@ Toxic documents go first, then all but one of equal texts, then all but one of
 each group of near duplicates, then documents that hold a benchmark item; the
 rest is packed. A stage's result is written to the folder of
 spark.checkpoint.dir and read again, so a lost executor costs one stage's tasks.
+
+Null and empty texts are no toxic documents, are equal to one another (one of
+all of them stays), are near nothing and hold no benchmark item; what stays of
+them is packed as a document of the end token alone. Texts of any length are
+read whole. Repeated rows are equal texts: one stays. Of ties in exact copies
+the largest id stays, null ids last; of near copies the smallest. Extra columns
+go through all stages but the last, whatever their names. An empty table gives
+an empty result of the same columns.
 """
 
 from __future__ import annotations
