@@ -158,20 +158,34 @@ def meeting(buckets: DataFrame, owned: DataFrame, limit: float) -> DataFrame:
     """Pairs of components ``x`` and ``y`` with likely pairs in a bucket besides those of its centres, y the larger.
 
     A large group of copies is one component by now and meets nobody in its own
-    buckets. Members are compared by their registers, PART against PART, and
-    give one row for each two components, so a bucket of any size neither falls
-    to one task nor becomes pairs.
+    buckets. Of a bucket that holds several components, members of the largest
+    one meet the others only, PART against PART, and the others meet each other:
+    a few strays in a bucket of any size cost a copy of its members and as many
+    copies of the strays as it has parts. Members are compared by their
+    registers and give one row for each two components.
     """
     placed = buckets.where("NOT array_contains(centres, node)").join(owned, "node").select("key", "node", "root", "n", "regs")
-    mixed = placed.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"), F.min("root").alias("low"), F.max("root").alias("high"))
-    placed = placed.join(mixed.where("low != high").select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    placed = placed.select("key", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "root", "n", "regs")
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("members"), F.count("*").alias("roots")
+    )
+    parts = lambda c: F.ceil(c / PART).cast("bigint")
+    mixed = counts.where("roots > 1").select("key", "main", "roots", parts(F.col("most")).alias("main_parts"), parts(F.col("members") - F.col("most")).alias("stray_parts"))
+    held = F.col("root") == F.col("main")
+    placed = placed.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.when(held, F.col("main_parts")).otherwise(F.col("stray_parts"))))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    cell = lambda kind, first, second, side: F.struct(F.lit(kind).alias("kind"), first.alias("first"), second.alias("second"), side.alias("side"))
+    own = F.col("part")
+    # kind 0: a part of the largest component (side 0) and one of the others (side 1); kind 1: two parts of the others, or one with itself (side 2)
+    of_main = F.transform(every("stray_parts"), lambda j: cell(0, own, j, F.lit(0)))
+    to_main = F.transform(every("main_parts"), lambda i: cell(0, i, own, F.lit(1)))
+    among = F.transform(every("stray_parts"), lambda j: cell(1, F.least(own, j), F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
+    cells = F.when(held, of_main).when(F.col("roots") > 2, F.concat(to_main, among)).otherwise(to_main)
+    placed = placed.select("key", "root", "n", "regs", F.inline(cells))
 
     def compare(t: pa.Table) -> pa.Table:
-        part, root, n = (t.column(c).to_numpy() for c in ("part", "root", "n"))
+        side, root, n = (t.column(c).to_numpy() for c in ("side", "root", "n"))
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
-        first, second = (np.flatnonzero(part == t.column(c)[0].as_py()) for c in ("first", "second"))
+        first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         equal = np.zeros((len(first), len(second)), dtype=np.int16)
         for r in range(REGISTERS):
             equal += regs[first, r][:, None] == regs[second, r]
@@ -181,7 +195,7 @@ def meeting(buckets: DataFrame, owned: DataFrame, limit: float) -> DataFrame:
         ends = np.unique(ends, axis=0)
         return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
 
-    pairs = placed.groupBy("key", "first", "second").applyInArrow(compare, "a long, b long").distinct()
+    pairs = placed.groupBy("key", "kind", "first", "second").applyInArrow(compare, "a long, b long").distinct()
     sizes = owned.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("nodes"))
     side = lambda x: sizes.select(F.col("root").alias(x), F.col("total").alias(f"total_{x}"), F.col("nodes").alias(f"nodes_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")

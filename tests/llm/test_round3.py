@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hitledger.llm import decontaminate, licenses, secret_scan, sharding, toxicity
+from hitledger.llm import decontaminate, licenses, near_dedup, secret_scan, sharding, toxicity
 from hitledger.llm.queries import QUERIES
 
 
@@ -273,3 +273,40 @@ def test_of_stretches_that_overlap_one_counts(licence_model):
     assert [f[0] for f in got] == ["gpl-3.0"]
     two = model.detect(gpl + gpl.replace("General", "Lesser General"))
     assert [f[0] for f in two] == ["gpl-3.0", "lgpl-3.0"] and two[0][4] <= two[1][3]
+
+
+def meets_of(spark, roots, part):
+    """Components that meet in one bucket of nodes with equal registers, and the rows the comparison reads."""
+    regs = np.arange(near_dedup.REGISTERS, dtype="<u2").tobytes()
+    nodes = spark.createDataFrame([(k, 100, root, regs) for k, root in enumerate(roots)], "node long, n long, root long, regs binary")
+    buckets = nodes.select("node", F.lit(7).cast("long").alias("key"), F.array().cast("array<long>").alias("centres"))
+    plan = near_dedup.meeting(buckets, nodes, 0.75)
+    return plan, {tuple(sorted((r.x, r.y))) for r in plan.collect()}
+
+
+@pytest.mark.parametrize("part", [4, 512])
+def test_every_two_components_of_a_bucket_meet(spark, monkeypatch, part):
+    """One large component and strays of one and of several others; two of equal size; one alone."""
+    monkeypatch.setattr(near_dedup, "PART", part)
+    for roots in ([1] * 40 + [50], [1] * 40 + [50, 51, 51, 52], [1] * 15 + [2] * 15, [1] * 9, [1, 2, 3, 4, 5, 6]):
+        _, got = meets_of(spark, roots, part)
+        kinds = sorted(set(roots))
+        assert got == {(a, b) for i, a in enumerate(kinds) for b in kinds[i + 1 :]}
+
+
+def test_a_stray_does_not_copy_its_bucket(spark, monkeypatch):
+    """Rows read by the comparison of 3,000 members and a stray in parts of ten: one for each member, one per part for the stray."""
+    monkeypatch.setattr(near_dedup, "PART", 10)
+    seen = spark.sparkContext.accumulator(0)
+    grouped = type(spark.range(1).groupBy("id")).applyInArrow
+
+    def counted(self, fn, schema):
+        def run(t):
+            seen.add(t.num_rows)
+            return fn(t)
+
+        return grouped(self, run, schema)
+
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInArrow", counted)
+    plan, got = meets_of(spark, [1] * 3000 + [9], 10)
+    assert got == {(1, 9)} and seen.value <= 3000 + 300 + 10
