@@ -109,7 +109,8 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     whole = counts.agg(F.sum("_k").alias("_n"), F.count("*").alias("_m"))
     # one row of totals, attached to the handful of classes by a constant key
     per = counts.withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one")
-    return df.join(per.select(label, (c("_n") / (c("_m") * c("_k"))).alias("class_weight")), label)
+    # sent to the rows: a shuffle by class would put each class into one task
+    return df.join(F.broadcast(per.select(label, (c("_n") / (c("_m") * c("_k"))).alias("class_weight"))), label)
 
 
 def split_by_hash(df: DataFrame, row_key, share: float = 0.30, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -118,18 +119,34 @@ def split_by_hash(df: DataFrame, row_key, share: float = 0.30, seed: int = 42) -
     return df.where(at >= share), df.where(at < share)
 
 
+# rows of a part of a training set, and its parts at most: each part sends its statistics of every node
+PART_ROWS, PARTS = 2000, 48
+
+
+def in_parts(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over as many parts as their number asks for, in an order of their own.
+
+    The trees are fitted part by part. Small rows would all be read, or joined
+    and coalesced, into one or a few tasks, which then walk every tree for all
+    rows. The count is given, so adaptive execution leaves the parts as they are.
+    """
+    parts = max(1, min(PARTS, -(-df.count() // PART_ROWS)))
+    whole = F.xxhash64(*[c(f"`{f.name}`") for f in df.schema if f.dataType.typeName() not in ("map", "variant")])
+    return df.withColumn("_dealt", whole).repartition(parts, "_dealt").sortWithinPartitions("_dealt").drop("_dealt")
+
+
 def train_classifier(df: DataFrame, label: str, numbers, texts=(), trees: int = 300, depth: int = 8, seed: int = 42):
     """Balanced random forest; predictions carry the label as ``predicted_label``."""
-    ready = balanced_weights(_filled(df.where(c(label).isNotNull()), numbers, texts), label)
+    ready = balanced_weights(_filled(in_parts(df.where(c(label).isNotNull())), numbers, texts), label)
     index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep").fit(ready)
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="class_weight", numTrees=trees, maxDepth=depth, seed=seed)
+    forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="class_weight", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True)
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=index.labels)
     return Pipeline(stages=[index, *_stages(numbers, texts), forest, back]).fit(ready)
 
 
 def train_regressor(df: DataFrame, target: str, numbers, texts=(), trees: int = 300, depth: int = 8, seed: int = 42):
-    ready = _filled(df, numbers, texts).withColumn("_target", num(target))
-    forest = RandomForestRegressor(featuresCol="_features", labelCol="_target", numTrees=trees, maxDepth=depth, seed=seed)
+    ready = _filled(in_parts(df), numbers, texts).withColumn("_target", num(target))
+    forest = RandomForestRegressor(featuresCol="_features", labelCol="_target", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True)
     return Pipeline(stages=[*_stages(numbers, texts), forest]).fit(ready)
 
 

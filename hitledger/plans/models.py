@@ -95,7 +95,8 @@ def models(i, rows):
 
 
 def predicted(i):
-    rows = materialize(labelled(i), "labelled")
+    # dealt over many files, so that 600 trees are not walked for all rows by the few tasks of a small table
+    rows = materialize(labelled(i).repartition(M.PARTS, *M.SCOPE), "labelled")
     return M.predict(*models(i, rows), rows, NUMBERS, TEXTS)
 
 
