@@ -21,7 +21,7 @@ UNSAFE = re.compile(r" (?![\w!-/:-@\[-`{-~])")
 PLAIN = re.compile(r"[\t\n\r -~\u00c0-\u024f]*")
 # the split pattern of byte-level BPE, a fixed value of the vocabulary
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED, LONGEST = 500_000, 40
+CACHED, LONGEST = 100_000, 40
 
 
 class Encoder:
