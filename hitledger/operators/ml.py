@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numbers as N, text as X
+from . import forest as FO
 from .baseline import previous_and_moving
 from .evidence import is_reference, num
 from .joins import null_safe_join
@@ -123,31 +124,59 @@ def split_by_hash(df: DataFrame, row_key, share: float = 0.30, seed: int = 42) -
 PART_ROWS, PARTS = 2000, 48
 
 
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt evenly over ``parts`` parts, in an order of their own; the count is given, so adaptive execution leaves the parts as they are."""
+    whole = F.xxhash64(*[c(f"`{f.name}`") for f in df.schema if f.dataType.typeName() not in ("map", "variant")])
+    return df.withColumn("_dealt", whole).repartition(parts, "_dealt").sortWithinPartitions("_dealt").drop("_dealt")
+
+
 def in_parts(df: DataFrame) -> DataFrame:
     """Rows dealt evenly over as many parts as their number asks for, in an order of their own.
 
     The trees are fitted part by part. Small rows would all be read, or joined
     and coalesced, into one or a few tasks, which then walk every tree for all
-    rows. The count is given, so adaptive execution leaves the parts as they are.
+    rows.
     """
-    parts = max(1, min(PARTS, -(-df.count() // PART_ROWS)))
-    whole = F.xxhash64(*[c(f"`{f.name}`") for f in df.schema if f.dataType.typeName() not in ("map", "variant")])
-    return df.withColumn("_dealt", whole).repartition(parts, "_dealt").sortWithinPartitions("_dealt").drop("_dealt")
+    return dealt(df, max(1, min(PARTS, -(-df.count() // PART_ROWS))))
+
+
+def _many(df: DataFrame) -> int:
+    """Parts of training rows that are too many for ``pyspark.ml``, which holds two numbers for each of them and each tree; 0 for fewer rows."""
+    n = df.count()
+    return min(FO.PARTS, -(-n // FO.ROWS)) if n > PART_ROWS * PARTS else 0
+
+
+def _trained(df: DataFrame, ready, stages, forest, y: Column, w: Column, weights=None) -> list:
+    """The fitted stages before a forest and its model; ``ready`` makes the columns they read, ``weights`` the classes' weights from the fitted stages."""
+    parts = _many(df)
+    if not parts:
+        return Pipeline(stages=[*stages, forest]).fit(ready(in_parts(df))).stages
+    before = Pipeline(stages=stages).fit(ready(df))
+    # dealt after the join of the weights: the order of rows below a join is dropped, and a row's draws follow from its place
+    rows = before.transform(dealt(ready(df), parts)).select(vector_to_array("_features").alias("x"), y.alias("y"), w.alias("w"))
+    return [*before.stages, FO.fit_forest(forest, rows, parts, weights and weights(before))]
 
 
 def train_classifier(df: DataFrame, label: str, numbers, texts=(), trees: int = 300, depth: int = 8, seed: int = 42):
     """Balanced random forest; predictions carry the label as ``predicted_label``."""
-    ready = balanced_weights(_filled(in_parts(df.where(c(label).isNotNull())), numbers, texts), label)
-    index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep").fit(ready)
+    known = df.where(c(label).isNotNull())
+    ready = lambda d: balanced_weights(_filled(d, numbers, texts), label)
+    index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep")
     forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="class_weight", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True)
-    back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=index.labels)
-    return Pipeline(stages=[index, *_stages(numbers, texts), forest, back]).fit(ready)
+
+    def weights(before):
+        # one more class stands for labels that were not there
+        of = {r[0]: r[1] for r in balanced_weights(known, label).groupBy(c(label).cast("string")).agg(F.max("class_weight")).collect()}
+        return FO.np.array([*[of[x] for x in before.stages[0].labels], 0.0])
+
+    fitted = _trained(known, ready, [index, *_stages(numbers, texts)], forest, c("_label").cast("int"), c("class_weight"), weights)
+    return PipelineModel([*fitted, IndexToString(inputCol="prediction", outputCol="predicted_label", labels=fitted[0].labels)])
 
 
 def train_regressor(df: DataFrame, target: str, numbers, texts=(), trees: int = 300, depth: int = 8, seed: int = 42):
-    ready = _filled(in_parts(df), numbers, texts).withColumn("_target", num(target))
+    ready = lambda d: _filled(d, numbers, texts).withColumn("_target", num(target))
     forest = RandomForestRegressor(featuresCol="_features", labelCol="_target", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True)
-    return Pipeline(stages=[*_stages(numbers, texts), forest]).fit(ready)
+    return PipelineModel(_trained(df, ready, _stages(numbers, texts), forest, c("_target"), F.lit(1.0)))
 
 
 def save_models(path: str, version: str, **models) -> None:
@@ -181,14 +210,24 @@ ML_GRADES = ([(0.75, "CRITICAL"), (0.45, "HIGH"), (0.20, "WARN")], "STABLE")
 def predict(classifier, regressor, df: DataFrame, numbers, texts=(), rule_score: str = "overall_risk_score") -> DataFrame:
     """Label, confidence, clamped score, grade and gap to the rule score."""
     d = _filled(df.select("*", top_features(numbers).alias("top_features")), numbers, texts)
-    labelled = classifier.transform(d) if "_label" in d.columns else _without_label(classifier).transform(d)
+    labelled = _said(classifier if "_label" in d.columns else _without_label(classifier), d)
     kept = [*df.columns, "top_features"]
-    labelled = labelled.select(*kept, *[x for x in d.columns if x.startswith("_")], "predicted_label", F.array_max(vector_to_array("probability")).alias("prediction_confidence"))
-    scored = regressor.transform(labelled)
+    labelled = labelled.select(*kept, *[x for x in d.columns if x.startswith("_")], "predicted_label", c("_said.confidence").alias("prediction_confidence"))
+    scored = _said(regressor, labelled)
     score = N.clamp01("prediction")
     return scored.select(*kept, "predicted_label", "prediction_confidence", score.alias("ml_risk_score"), N.level_band(score, ML_GRADES).alias("ml_risk_grade"), (score - num(rule_score)).alias("score_gap"))
 
 
+def _said(model, df: DataFrame) -> DataFrame:
+    """Rows through a fitted pipeline; its forest is walked for many rows at once and leaves ``prediction`` and ``_said``."""
+    for stage in model.stages:
+        if isinstance(stage, (RandomForestClassificationModel, RandomForestRegressionModel)):
+            df = df.withColumn("_said", FO.walked(stage)).withColumn("prediction", c("_said.prediction"))
+        else:
+            df = stage.transform(df)
+    return df
+
+
 def _without_label(model):
     """The fitted pipeline without its label index, for rows that have no label."""
     return PipelineModel(model.stages[1:])
